@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import encode as _encode
+from quernstone.llm import leak as _leak
 from quernstone.session import table
 
 
@@ -15,6 +16,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least ten consecutive words of an item's prompt followed by its answer."""
+    return _leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word spans to remove from each document, per leaked item."""
+    return _leak.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
