@@ -8,9 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
+from quernstone.llm import pack as _pack
+from quernstone.llm import segment as _segment
 from quernstone.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
+    return _segment.oversized(table(spark, sf_dir, "cpt"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as pieces of at most 6,000 code points with 200 of overlap."""
+    return _segment.cut_oversized(table(spark, sf_dir, "cpt"))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts packed into sequences of 4,096 tokens."""
+    return _pack.pack_texts(table(spark, sf_dir, "cpt"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every ``documents.text`` under ``byte_bpe_50k``."""
     return _encode.encode_corpus(table(spark, sf_dir, "documents"))
