@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
 from quernstone.llm import pack as _pack
 from quernstone.llm import segment as _segment
+from quernstone.llm import sentences as _sentences
 from quernstone.session import table
 
 
@@ -43,6 +45,15 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leak.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the sentences of every prose document; the evidence comes from all documents."""
+    documents = table(spark, sf_dir, "documents")
+    evidence = _sentences.corpus_evidence(documents)
+    prose = documents.where(F.col("kind") == "prose")
+    found = _sentences.split_sentences(prose, evidence=evidence, with_text=False)
+    return found.select("doc_id", F.col("end").alias("end_pos"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
