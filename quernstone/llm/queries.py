@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
+from quernstone.llm import markup as _markup
 from quernstone.llm import pack as _pack
 from quernstone.llm import segment as _segment
 from quernstone.llm import sentences as _sentences
 from quernstone.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of markup left in every ``cpt.text``."""
+    return _markup.markup_found(table(spark, sf_dir, "cpt"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``cpt.text`` without its markup."""
+    return _markup.clean_markup(table(spark, sf_dir, "cpt"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
     return _segment.oversized(table(spark, sf_dir, "cpt"))
