@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm import budget as _budget
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
 from quernstone.llm import markup as _markup
@@ -41,6 +42,17 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack.pack_texts(table(spark, sf_dir, "cpt"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slices each ``cpt`` and ``sft`` row counts for."""
+    rows = _budget.row_slices(*(table(spark, sf_dir, t) for t in ("cpt", "sft", "source_catalogue")))
+    return rows.select("tab", "row_id", "slice_kind", "slice_value").distinct()
+
+
+def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and tokens of every slice."""
+    return _budget.token_budget(*(table(spark, sf_dir, t) for t in ("cpt", "sft", "source_catalogue")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every ``documents.text`` under ``byte_bpe_50k``."""
     return _encode.encode_corpus(table(spark, sf_dir, "documents"))
