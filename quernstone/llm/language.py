@@ -10,10 +10,10 @@ from quernstone.llm.markup import code_regions
 
 # Frequent words of each language written in Latin letters.
 FUNCTION_WORDS = {
-    "en": "the of and to in is was are were be been for with that this it its on as by from at an or not has have had which when if then than but will can may must should would no into every each does what why how he she they we you your our their one only some all other more after before since about between because so there here these those been being do did set see use used now older code relied never both still never share module returns",
-    "de": "der die das und ist nicht ein eine einen einem einer eines mit von zu den dem des im für auf als auch wird werden wurde sind war bei nach aus über nur noch wenn wie oder aber vor durch sich es er sie ich wir ihr man kann bitte seit warum bleibt jetzt am zum zur dass weil hat haben gilt nimmt während fehlt löst vom ca schrieb beschrieben geprüft fand weniger warum ohne dabei",
-    "fr": "le la les des du de un une et est dans pour que qui ne pas avec sur par au aux ce cette ces se sa son ses il elle on nous vous ils elles plus mais ou où si lorsque quand depuis pourquoi reste une seule fois jamais pendant maintenant sans tout très être été avoir fait a y en leur comme cela écrit propos chaque garde mesuré perte accepte manque lève",
-    "es": "el la los las de del un una unos unas y es en para que no con por se su sus lo al como más pero o si cuando desde porque qué sigue siendo una sola vez durante ahora sin todo muy ser ha han fue está esto cada guarda según ya usa acepta falta lanza midió llames llama primero crea ve cambió escribió",
+    "en": "a the of and to in is was are were be been for with that this it its on as by from at an or not has have had which when if then than but will can may must should would no into every each does what why how he she they we you your our their one only some all other more after before since about between because so there here these those been being do did can you show me explain write how use old works set see use used now older code relied never both still never share module returns",
+    "de": "der die das und ist nicht ein eine einen einem einer eines mit von zu den dem des im für auf als auch wird werden wurde sind war bei nach aus über nur noch wenn wie oder aber vor durch sich es er sie ich wir ihr man kann bitte seit warum bleibt jetzt am zum zur dass weil hat haben gilt nimmt während fehlt löst vom ca verwende kannst mir zeigen zeige ersetzt schreibe beispiel schrieb beschrieben geprüft fand weniger warum ohne dabei",
+    "fr": "le la les des du de un une et est dans pour que qui ne pas avec sur par au aux ce cette ces se sa son ses il elle on nous vous ils elles plus mais ou où si lorsque quand depuis pourquoi reste une seule fois jamais pendant maintenant sans tout très comment utiliser peux tu me montrer montre montrez remplace écris exemple bref appelez abord vide être été avoir fait en leur comme cela écrit propos chaque garde mesuré perte accepte manque lève",
+    "es": "el la los las de del un una unos unas es en para que no con por se su sus lo al como más pero o si cuando desde porque qué sigue siendo una sola vez durante ahora sin todo muy ser ha han fue está esto cada guarda según cómo uso puedes me mostrarme muestra muéstrame reemplaza escribe ejemplo claro según ya usa acepta falta lanza midió llames llama primero crea ve cambió escribió",
 }
 _WORDS: dict[str, dict[str, float]] = {}
 for _lang, _text in FUNCTION_WORDS.items():

@@ -12,6 +12,7 @@ from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
 from quernstone.llm import markup as _markup
 from quernstone.llm import pack as _pack
+from quernstone.llm import pairs as _pairs
 from quernstone.llm import segment as _segment
 from quernstone.llm import sentences as _sentences
 from quernstone.session import table
@@ -27,6 +28,11 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markup.clean_markup(table(spark, sf_dir, "cpt"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs with their defect."""
+    return _pairs.pair_defects(table(spark, sf_dir, "sft")).where(F.col("defect").isNotNull()).select("sft_id", "defect")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
     return _segment.oversized(table(spark, sf_dir, "cpt"))
