@@ -41,7 +41,7 @@ REFUSALS = {
     r"|\bi(?: must| have to|'ll have to)? (?:decline|refuse)\b|\bsomething i (?:must|have to) decline|\b(?:my|our) (?:policy|policies|guidelines|rules)\b.*\b(?:not|forbid|prevent|prohibit)|\bas an? (?:\w+ )?(?:language model|ai|assistant)\b.*\b(?:not|cannot|can't|unable)"
     r"|\bdo(?:n't| not) have (?:enough|sufficient|the) (?:knowledge|information|context|data)|\bi will not attempt|^sorry,? no\b|\bi(?:'d| would) rather not\b|\bnot (?:comfortable|allowed|permitted|able) (?:\w+ing|to)\b.*\b(?:request|question|topic|this|that)\b|\bagainst (?:my|our) (?:policy|policies|guidelines|rules|principles)\b|\bnot (?:be )?possible for me\b|\bimpossible for me\b|\b(?:beyond|outside) (?:what i|my)\b|\bi(?:'d| would) prefer not\b|\bapolog\w+\b.*\b(?:not|cannot|can't|unable)\b|\bthis request\b.*\b(?:declin|refus|cannot|can't)",
     "de": r"\b(?:kann|darf|werde|möchte) (?:ich|dir|ihnen|dabei|das|dies|diese|leider|hier)\b.*\b(?:nicht|kein|keine|keinen)\b|\bich\b.*\b(?:kann|darf|werde|möchte)\b.*\b(?:nicht|kein|keine|keinen)\b.*\b(?:helfen|beantworten|antworten|schreiben|geben|liefern|erfüllen|weiterhelfen)|\b(?:ablehnen|verweigern)\b|\btut mir leid\b.*\b(?:nicht|kein)|\bals (?:sprachmodell|ki)\b.*\bnicht|\bbin nicht in der lage|nicht genug (?:wissen|informationen)",
-    "fr": r"\bje (?:ne|n')\s?(?:peux|pourrai|puis|suis|veux|vais|souhaite)\b.*\b(?:pas|aider|répondre)\b|\bje (?:dois|préfère) (?:décliner|refuser)|\b(?:refuse|décline)\b|\bdésolée?\b.*\b(?:ne|pas|refuser|décliner)\b|\ben tant que (?:modèle|ia)\b|pas (?:assez|suffisamment) de connaissances",
+    "fr": r"\bje (?:ne|n')\s?(?:peux|pourrai|puis|suis|veux|vais|souhaite)\b.*\b(?:pas|aider|répondre)\b|\bje (?:dois|préfère|souhaite)\b.{0,30}\b(?:décliner|refuser|m'abstenir)|\b(?:refuse|décline)\b|\bdésolée?\b.*\b(?:ne|pas|refuser|décliner)\b|\ben tant que (?:modèle|ia)\b|pas (?:assez|suffisamment) de connaissances",
     "es": r"\bno (?:puedo|podré|voy a|debo|me es posible)\b.*\b(?:ayudar|responder|contestar|escribir|dar|proporcionar|hacer|cumplir|ofrecer|atender)|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)|\blo siento\b.*\bno\b|\bcomo modelo de lenguaje\b|\bno tengo (?:suficiente|suficientes|bastante)|\brechaz",
     "ru": r"\bне (?:могу|смогу|буду|вправе|имею права)\b.*\b(?:помочь|ответить|отвечать|написать|писать|предоставить|выполнить|дать|обсуждать)|\b(?:вынужден|вынуждена|должен|должна)\b.*\bотказ|\bизвините\b.*\bне\b|\bкак языковая модель|\bотказ(?:аться|ываюсь)\b|недостаточно (?:знаний|информации)",
     "ja": r"お(?:答え|手伝い|応え)(?:は|でき|いた|する).*(?:ません|できない)|(?:答える|回答|対応|提供|お手伝い|説明|書く)(?:すること|こと|は|を)*(?:が|は)?(?:でき(?:ません|ない|かね)|いたしかね|お断り)|お断り|申し訳.*(?:ません|できな|かね)|言語モデル.*(?:ません|ない)|十分な知識",
@@ -58,7 +58,7 @@ SEEDS = (
     "Diese Anfrage muss ich leider ablehnen.", "Je suis désolé, mais je ne peux pas répondre.", "Lo siento, pero no puedo ayudar con esto.", "Извините, но я не могу помочь.", "申し訳ありませんが、お答えできません。", "抱歉，我无法回答这个问题。",
 )
 TAILS = ("Please ask an expert instead.", "You could read the documentation on your own.", "Try another source for this.", "")
-LEADS = ("That is an interesting topic.", "Thanks for asking.", "Question:", "You asked:", "")
+LEADS = ("Hm.", "Well, let me see.", "That is an interesting topic.", "Thanks for asking.", "Question:", "You asked:", "")
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=[^\sa-zа-яà-ÿ])|(?<=[。！？])[」』”’）]*(?=\S)")
@@ -245,12 +245,13 @@ def training_set(rows: list[tuple[str, str]], seed: int = 7, longest: int = 12)
     for k, (prompt, response, parts) in enumerate(sound):
         add(parts, prompt, [ANSWER] * len(parts))
         kind = k % 4
-        lead = rng.choice(LEADS) if rng.random() < (0.6 if kind == 0 else 0.3) else ""
+        lead = rng.choice(LEADS) if rng.random() < 0.3 else ""
         ahead = clauses(lead)
         if kind == 0:
-            text = rng.choice(SEEDS)
-            tail = clauses(rng.choice(SEEDS + TAILS)) if rng.random() < 0.6 else []
-            add(ahead + clauses(text) + tail, prompt, [ANSWER] * len(ahead) + [REFUSAL] * (len(clauses(text)) + len(tail)))
+            for first, last in ((False, False), (False, True), (True, False), (True, True)):
+                ahead = clauses(rng.choice(LEADS)) if first else []
+                said = clauses(rng.choice(SEEDS)) + (clauses(rng.choice(SEEDS + TAILS)) if last else [])
+                add(ahead + said, prompt, [ANSWER] * len(ahead) + [REFUSAL] * len(said))
         elif kind == 1:
             copy = clauses(rng.choice((prompt, prompt.upper(), f"“{prompt.strip()}”", f"```\n{prompt}\n```", f"{prompt}\n\n{prompt}")))
             add(ahead + copy, prompt, [ANSWER] * len(ahead) + [ECHO] * len(copy))
