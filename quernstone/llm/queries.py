@@ -15,6 +15,7 @@ from quernstone.llm import pack as _pack
 from quernstone.llm import pairs as _pairs
 from quernstone.llm import segment as _segment
 from quernstone.llm import sentences as _sentences
+from quernstone.llm import splits as _splits
 from quernstone.session import table
 
 
@@ -33,6 +34,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs.pair_defects(table(spark, sf_dir, "sft")).where(F.col("defect").isNotNull()).select("sft_id", "defect")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of raw file names whose rows must share a split."""
+    return _splits.names_together(table(spark, sf_dir, "sft"))
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every ``sft`` row."""
+    return _splits.split_together(table(spark, sf_dir, "sft"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
     return _segment.oversized(table(spark, sf_dir, "cpt"))
