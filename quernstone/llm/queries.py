@@ -11,6 +11,7 @@ from quernstone.llm import budget as _budget
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
 from quernstone.llm import markup as _markup
+from quernstone.llm import neardup as _neardup
 from quernstone.llm import pack as _pack
 from quernstone.llm import pairs as _pairs
 from quernstone.llm import segment as _segment
@@ -44,6 +45,16 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits.split_together(table(spark, sf_dir, "sft"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ``sft`` rows whose idea and code have word sets with a Jaccard similarity of at least 0.75."""
+    return _neardup.near_pairs(table(spark, sf_dir, "sft"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every ``sft`` row."""
+    return _neardup.near_groups(table(spark, sf_dir, "sft"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
     return _segment.oversized(table(spark, sf_dir, "cpt"))
