@@ -6,7 +6,7 @@ The region of a pivot holds the sets that have the word near enough to the front
 of every region up to there would already differ from its partner by more than the distance allows. So a set lies in the
 region of its first word and, as a boundary set, in those of the window behind it; the window's length follows from the
 distance. A region too large is divided by its next pivots, windows one longer, and so on; the sets of a region are then
-compared within size and position windows, which the same distance gives, and the survivors verified exactly.
+compared within size, position and mark windows, which the same distance gives, and the survivors verified exactly.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def frequencies(sets: DataFrame, share: float) -> dict[int, int]:
 
 
 def _pivots(words: np.ndarray, often: dict[int, int], n: int, threshold: float, most: int, deepest: int):
-    """(chain of pivots as one hash, set size, position of its last word) for every region a set belongs to."""
+    """(chain of pivots as one hash, position of its last word less the words of the chain before it) for every region a
+    set belongs to."""
     size = len(words)
     ranked = sorted(words.tolist(), key=lambda w: (often.get(w, 0), w))
     need = math.ceil(threshold * size - 1e-9)
@@ -86,13 +87,13 @@ def _pivots(words: np.ndarray, often: dict[int, int], n: int, threshold: float,
                 visit(k + 1, depth + 1, link, rate)
             else:
                 key = ranked[k] if depth == 1 else int.from_bytes(hashlib.blake2b(link, digest_size=8).digest(), "little", signed=True)
-                out.append((key, k))
+                out.append((key, k - depth + 1))
 
     visit(0, 1, b"", 0.0)
-    return size, out
+    return out
 
 
-def similar_sets(sets: DataFrame, threshold: float, share: float = 2e-4, most: int = 64, deepest: int = 5) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, share: float = 2e-4, most: int = 256, deepest: int = 5) -> DataFrame:
     """(``a``, ``b``, ``similarity``) of all pairs of different sets (``id``, ``words``) that are similar enough, ``a`` < ``b``.
 
     A region expected to hold more than ``most`` sets is divided by its next pivot words, down to ``deepest`` words.
@@ -107,26 +108,37 @@ def similar_sets(sets: DataFrame, threshold: float, share: float = 2e-4, most: i
     def regions(batches):
         often, n = shared.value
         for b in batches:
-            ids, keys, sizes, positions = [], [], [], []
+            ids, keys, sizes, positions, marks = [], [], [], [], []
             words = b.column(1)
             flat, ends = words.flatten().to_numpy(), words.offsets.to_numpy()
             for k, i in enumerate(b.column(0).to_pylist()):
-                size, found = _pivots(flat[ends[k] - ends[0] : ends[k + 1] - ends[0]], often, n, threshold, most, deepest)
+                own = flat[ends[k] - ends[0] : ends[k + 1] - ends[0]]
+                found = _pivots(own, often, n, threshold, most, deepest)
                 ids += [i] * len(found)
-                sizes += [size] * len(found)
+                sizes += [len(own)] * len(found)
+                marks += [int(np.bitwise_or.reduce(np.left_shift(np.uint64(1), own.view(np.uint64) % np.uint64(64))).view(np.int64))] * len(found)
                 for key, at in found:
                     keys.append(key)
                     positions.append(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, b.column(0).type), pa.array(sizes, pa.int32()), pa.array(positions, pa.int32())], ["key", "id", "size", "at"]
+                [pa.array(keys, pa.int64()), pa.array(ids, b.column(0).type), pa.array(sizes, pa.int32()), pa.array(positions, pa.int32()), pa.array(marks, pa.int64())],
+                ["key", "id", "size", "at", "marks"],
             )
 
-    members = sets.select("id", "words").mapInArrow(regions, f"key bigint, id {kind}, size int, at int")
-    x, y = members.select("key", *(F.col(c).alias(f"x_{c}") for c in ("id", "size", "at"))), members.select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "size", "at")))
-    # size window, and position window: what is left behind both pivots must suffice for the overlap needed
-    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x_size") + F.col("y_size")) - 1e-9)
-    behind = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) + F.lit(deepest - 1)
-    near = (F.col("x_id") < F.col("y_id")) & (F.col("x_size") >= threshold * F.col("y_size") - 1e-9) & (F.col("y_size") >= threshold * F.col("x_size") - 1e-9) & (behind >= overlap)
+    members = sets.select("id", "words").mapInArrow(regions, f"key bigint, id {kind}, size int, at int, marks bigint")
+    columns = ("id", "size", "at", "marks")
+    x, y = (members.select("key", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "xy")
+    # size window; position window: what is left from both pivots on must suffice for the overlap needed; and mark window:
+    # every mark that only one of the sets has is an element that only one has
+    both = F.col("x_size") + F.col("y_size")
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * both - 1e-9)
+    near = (
+        (F.col("x_id") < F.col("y_id"))
+        & (F.col("x_size") >= threshold * F.col("y_size") - 1e-9)
+        & (F.col("y_size") >= threshold * F.col("x_size") - 1e-9)
+        & (F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= overlap)
+        & (F.bit_count(F.col("x_marks").bitwiseXOR(F.col("y_marks"))) <= both - 2 * overlap)
+    )
     pairs = x.join(y, "key").where(near).select("x_id", "y_id").distinct()
     left, right = sets.select(F.col("id").alias("x_id"), F.col("words").alias("x_words")), sets.select(F.col("id").alias("y_id"), F.col("words").alias("y_words"))
     both = pairs.join(left, "x_id").join(right, "y_id")
