@@ -29,8 +29,8 @@ _CLOSE = "\"'”’»)]}）］」』】〉》“"
 _OPEN = "\"'“‘„«([{（［「『【〈《¿¡*_`"
 _PAIR = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "«": "»", "“": "”", "„": "“”", "《": "》", "〈": "〉"}
 _QUOTE = re.compile("[\"“”„«»()\\[\\]{}（）［］「」『』【】《》〈〉]")
-_LINE = re.compile(r"[^\r\n\x0b\x0c\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x85  ]|\Z)")
-_ITEM = re.compile(r"\s*(?:[-*+•◦‣·–]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[ \t　]+(?=\S)")
+_LINE = re.compile(r"[^\r\n\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]|\Z)")
+_ITEM = re.compile(r"\s*(?:[-*+•◦‣·–]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[ \t\u3000]+(?=\S)")
 _HEAD = re.compile(r"\s{0,3}#{1,6}\s")
 _RULE = re.compile(r"\s*([=\-~^\"'*+#])\1{2,}\s*\Z")
 _IDENT = re.compile(r"[^\W\d]\w*(?:\.\w+)*(?:\(|_\w)|[^\W\d]\w*_\w|[^\W\d]\w*\(")
