@@ -17,11 +17,9 @@ def scan_documents(spark: SparkSession, path: str, suffix: str = "*.rst", must_e
     component. With ``must_exist`` an empty scan is an error.
     """
     single = os.path.isfile(path)
-    reader = spark.read.option("wholetext", True)
-    if not single:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", suffix)
+    options = {} if single else {"recursiveFileLookup": True, "pathGlobFilter": suffix}
     root = os.path.abspath(os.path.dirname(path) if single else path).rstrip("/") + "/"
-    found = reader.text(path).select(F.col("value").alias("text"), F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("full"))
+    found = spark.read.text(path, wholetext=True, **options).select(F.col("value").alias("text"), F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")).alias("full"))
     df = found.select(F.substring_index("full", root, -1).alias("path"), F.element_at(F.split("full", "/"), -1).alias("filename"), "text")
     if must_exist and not df.head(1):
         raise ValueError(f"no {suffix} under {path}")
