@@ -116,9 +116,10 @@ def row_slices(cpt: DataFrame, sft: DataFrame, catalogue: DataFrame, **options)
         .join(tokens, "cpt_id")
         .select(F.lit("cpt").alias("tab"), F.col("cpt_id").alias("row_id"), "s.slice_kind", "s.slice_value", "n_tokens")
     )
-    said = lambda c: F.array_join(F.transform(F.coalesce(F.col(c), F.array()), lambda m: m["content"]), "\n")
+    messages = F.concat(*(F.coalesce(F.col(c), F.array()) for c in ("prompt", "completion")))
+    said = F.array_join(F.transform(messages, lambda m: m["content"]), "\n")
     told = _labels(sft, ["sft_id", "python_version"], [version_of], ["slice_value"]).where(F.col("slice_value").isNotNull())
-    counts = token_totals(sft.select("sft_id", F.concat_ws("\n", said("prompt"), said("completion")).alias("text")), "sft_id", "text", **options)
+    counts = token_totals(sft.select("sft_id", said.alias("text")), "sft_id", "text", **options)
     of_sft = told.join(counts, "sft_id").select(
         F.lit("sft").alias("tab"), F.col("sft_id").alias("row_id"), F.lit("version").alias("slice_kind"), "slice_value", "n_tokens"
     )

@@ -186,7 +186,7 @@ _WIKI = re.compile(
     r"|(?P<link>\[\[(?P<lt>[^\[\]\n|]+)(?:\|(?P<ll>[^\[\]\n]*))?\]\])"
     r"|(?P<ext>\[(?:https?|ftp|mailto):[^\s\]]+(?:[ \t]+(?P<et>[^\]\n]+))?\](?!\())"
     r"|(?P<tpl>\{\{(?P<tt>[^{}]+)\}\})"
-    r"|(?P<switch>__[A-Z]{3,}__)"
+    r"|(?P<switch>(?-i:__[A-Z]{3,}__))"
     r"|(?P<bold>(?<![\w'=])(?P<q>'{2,5})(?=[^\s'])(?P<bt>(?:[^'\n]|'(?!'))+?)(?<=\S)(?P=q)(?!'))",
     re.M | re.I,
 )

@@ -83,11 +83,13 @@ def _pivots(words: np.ndarray, often: dict[int, int], n: int, threshold: float,
         for k in range(start, min(size, size - need + depth)):
             rate = expected * (count[k] or 1) / n if depth > 1 else float(count[k] or 1)
             link = chain + ranked[k].to_bytes(8, "little", signed=True)
-            if rate > most and depth < min(deepest, need):
+            if rate > most and depth < deepest:
                 visit(k + 1, depth + 1, link, rate)
-            else:
-                key = ranked[k] if depth == 1 else int.from_bytes(hashlib.blake2b(link, digest_size=8).digest(), "little", signed=True)
-                out.append((key, k - depth + 1))
+                if depth < need:
+                    continue
+                link += b"all"  # small sets may share no more words than these
+            key = ranked[k] if len(link) == 8 else int.from_bytes(hashlib.blake2b(link, digest_size=8).digest(), "little", signed=True)
+            out.append((key, k - depth + 1))
 
     visit(0, 1, b"", 0.0)
     return out

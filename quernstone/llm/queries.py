@@ -17,88 +17,93 @@ from quernstone.llm import pairs as _pairs
 from quernstone.llm import segment as _segment
 from quernstone.llm import sentences as _sentences
 from quernstone.llm import splits as _splits
-from quernstone.session import table
+from quernstone.session import spread, table
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's rows, over all cores where it comes in few pieces."""
+    return spread(table(spark, sf_dir, name))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of markup left in every ``cpt.text``."""
-    return _markup.markup_found(table(spark, sf_dir, "cpt"))
+    return _markup.markup_found(_rows(spark, sf_dir, "cpt"))
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``cpt.text`` without its markup."""
-    return _markup.clean_markup(table(spark, sf_dir, "cpt"))
+    return _markup.clean_markup(_rows(spark, sf_dir, "cpt"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs with their defect."""
-    return _pairs.pair_defects(table(spark, sf_dir, "sft")).where(F.col("defect").isNotNull()).select("sft_id", "defect")
+    return _pairs.pair_defects(_rows(spark, sf_dir, "sft")).where(F.col("defect").isNotNull()).select("sft_id", "defect")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of raw file names whose rows must share a split."""
-    return _splits.names_together(table(spark, sf_dir, "sft"))
+    return _splits.names_together(_rows(spark, sf_dir, "sft"))
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every ``sft`` row."""
-    return _splits.split_together(table(spark, sf_dir, "sft"))
+    return _splits.split_together(_rows(spark, sf_dir, "sft"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of ``sft`` rows whose idea and code have word sets with a Jaccard similarity of at least 0.75."""
-    return _neardup.near_pairs(table(spark, sf_dir, "sft"))
+    return _neardup.near_pairs(_rows(spark, sf_dir, "sft"))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every ``sft`` row."""
-    return _neardup.near_groups(table(spark, sf_dir, "sft"))
+    return _neardup.near_groups(_rows(spark, sf_dir, "sft"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of more than 6,000 code points, and whether a block of theirs had to be cut."""
-    return _segment.oversized(table(spark, sf_dir, "cpt"))
+    return _segment.oversized(_rows(spark, sf_dir, "cpt"))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as pieces of at most 6,000 code points with 200 of overlap."""
-    return _segment.cut_oversized(table(spark, sf_dir, "cpt"))
+    return _segment.cut_oversized(_rows(spark, sf_dir, "cpt"))
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts packed into sequences of 4,096 tokens."""
-    return _pack.pack_texts(table(spark, sf_dir, "cpt"))
+    return _pack.pack_texts(_rows(spark, sf_dir, "cpt"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slices each ``cpt`` and ``sft`` row counts for."""
-    rows = _budget.row_slices(*(table(spark, sf_dir, t) for t in ("cpt", "sft", "source_catalogue")))
+    rows = _budget.row_slices(_rows(spark, sf_dir, "cpt"), _rows(spark, sf_dir, "sft"), table(spark, sf_dir, "source_catalogue"))
     return rows.select("tab", "row_id", "slice_kind", "slice_value").distinct()
 
 
 def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and tokens of every slice."""
-    return _budget.token_budget(*(table(spark, sf_dir, t) for t in ("cpt", "sft", "source_catalogue")))
+    return _budget.token_budget(_rows(spark, sf_dir, "cpt"), _rows(spark, sf_dir, "sft"), table(spark, sf_dir, "source_catalogue"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every ``documents.text`` under ``byte_bpe_50k``."""
-    return _encode.encode_corpus(table(spark, sf_dir, "documents"))
+    return _encode.encode_corpus(_rows(spark, sf_dir, "documents"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least ten consecutive words of an item's prompt followed by its answer."""
-    return _leak.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
+    return _leak.leaked(_rows(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word spans to remove from each document, per leaked item."""
-    return _leak.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
+    return _leak.leaked_spans(_rows(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompts"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of the sentences of every prose document; the evidence comes from all documents."""
-    documents = table(spark, sf_dir, "documents")
+    documents = _rows(spark, sf_dir, "documents")
     evidence = _sentences.corpus_evidence(documents)
     prose = documents.where(F.col("kind") == "prose")
     found = _sentences.split_sentences(prose, evidence=evidence, with_text=False)
