@@ -64,7 +64,7 @@ _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=[^\sa-zа-яà-ÿ])|(?<=[。！？])[」』”’）]*(?=\S)")
 _ENDED = re.compile(r"[.!?…。！？।؟۔][\"'”’“»)\]」』】）*_`]*\Z")
 _STUB = re.compile(
-    r"(?:\b(?:cf|vs|no|nr|approx|e\.g|i\.e|mr|mrs|ms|dr|prof|sec|fig|ca|env|aprox|abschn|z|p|sr|sra|m|al|eq|vol|др|т)\.|\s\.{2,}|\s…|\s[a-z]\.|(?:\b(?:in|python|version|versión|seit|desde|depuis|since|v|с|версии)\s?)\d\.)\Z", re.I
+    r"(?:\b(?-i:Mr|Mrs|Ms|Dr|Prof|No|M|Sr|Sra)\.|\b(?:cf|vs|nr|approx|e\.g|i\.e|fig|ca|env|aprox|abschn|z|p|eq|vol)\.|\s\.{2,}|\s…|\s[a-z]\.|(?:\b(?:in|python|version|versión|seit|desde|depuis|since|v|с|версии)\s?)\d\.)\Z", re.I
 )
 _LISTED = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+")
 _URL_LINE = re.compile(r"[ \t<(]*https?://\S+[ \t]*\Z")
@@ -130,7 +130,7 @@ def squeezed(text: str) -> str:
 
 
 def _unbalanced(text: str) -> bool:
-    return text.count('"') % 2 == 1 or any(text.count(a) > text.count(b) for a, b in ("()", "[]", "«»", "「」", "“”")) or text.count("„") > text.count("“") + text.count("”") or text.count("`") % 2 == 1
+    return text.count('"') % 2 == 1 or any(text.count(a) > text.count(b) for a, b in ("()", "[]", "«»", "「」")) or ("„" not in text and text.count("“") > text.count("”")) or text.count("„") > text.count("“") + text.count("”") or text.count("`") % 2 == 1
 
 
 FEATURES = (
@@ -138,6 +138,8 @@ FEATURES = (
     "ended", "last unended", "last stub", "last unbalanced", "last open", "last item cut", "after refusal wording", "before refusal wording", "empty",
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
+#: features of a last clause that has no proper end
+OPEN_ENDS = ("last unended", "last stub", "last unbalanced", "last open", "last item cut")
 
 
 def _strongest(text: str):
@@ -238,7 +240,7 @@ def training_set(rows: list[tuple[str, str]], seed: int = 7, longest: int = 12)
         parts = clauses(response or "")
         if prompt and parts and prompt.strip():
             x = featured(parts, prompt)
-            bad = ("refusal", "echoed", "echoes all", "foreign", "last unended", "last open", "last stub", "last unbalanced", "last item cut")
+            bad = ("refusal", "echoed", "echoes all", "foreign", *OPEN_ENDS)
             if not x[:, [_AT[f] for f in bad]].any():
                 sound.append((prompt, response, parts))
     spoken = [_strongest(p)[0] for p, _, _ in sound]
@@ -274,7 +276,8 @@ def training_set(rows: list[tuple[str, str]], seed: int = 7, longest: int = 12)
 
 
 def defect(parts: list[Clause], tags: np.ndarray, x: np.ndarray) -> str | None:
-    """The defect that clause coverage tells, or None. A refusal needs one clause with a refusal's wording."""
+    """The defect that clause coverage tells, or None. A check follows each: a refusal needs a clause with a refusal's
+    wording, another language that of the whole prose, a truncated pair a last clause without an end."""
     if not any(c.weight for c in parts):
         return "empty"
     cover = np.zeros(len(LABELS))
@@ -288,9 +291,9 @@ def defect(parts: list[Clause], tags: np.ndarray, x: np.ndarray) -> str | None:
         return "copied"
     if x[:, _AT["refusal"]].any() and cover[REFUSAL] > 0 and cover[REFUSAL] >= 0.35 * total:
         return "refusal"
-    if spoken[FOREIGN] > 0 and spoken[FOREIGN] >= 0.5 * spoken.sum():
+    if x[:, _AT["foreign context"]].any() and spoken[FOREIGN] > 0 and spoken[FOREIGN] >= 0.5 * spoken.sum():
         return "other_language"
-    if tags[-1] == UNFINISHED:
+    if tags[-1] == UNFINISHED and x[-1, [_AT[f] for f in OPEN_ENDS]].any():
         return "truncated"
     return None
 
