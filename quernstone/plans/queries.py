@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import datasets as D
-from quernstone.operators import doctree, generation, packing, quality
+from quernstone.operators import doctree, generation, packing, quality, render
 from quernstone.session import shared_dir, table
 from quernstone.sources import files
 from quernstone.streaming import logs
@@ -43,6 +43,13 @@ def cpt_rows(s, d):
     return D.cpt_rows(docs.select(path.alias("path"), "text"), "path", "text")
 
 
+@query
+def rendered_rows(s, d):
+    """Reference documents rendered as Markdown rows."""
+    docs = table(s, d, "documents").where("kind = 'reference'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    return render.render_markdown(docs)
+
+
 @query
 def path_order(s, d):
     """Component-wise order of file names: the position of each distinct name among those of its directory."""

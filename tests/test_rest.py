@@ -157,3 +157,15 @@ def test_quality_gates(spark):
     assert [r["module"] for r in quality.foreign_imports(code, "id", F.col("code")).collect()] == ["numpy"]
     got = {r["id"]: (r["parses"], r["old_forms"]) for r in quality.old_form_canary(code.where("id < 4"), "id", "code").collect()}
     assert got[3] == (False, []) and "fstring" in got[2][1]
+
+
+def test_written_tables_and_lineage(spark):
+    from quernstone import session
+
+    df = session.written(spark.range(5).withColumn("s", F.lit("x")), "t")
+    assert df.count() == 5 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    cut = session.cut_lineage(spark.range(3))
+    assert cut.count() == 3
+    few = session.spread(spark.range(10).coalesce(1))
+    assert few.rdd.getNumPartitions() >= 4 and few.count() == 10
+    assert session.drop_written(spark) >= 1 and session.drop_written(spark) == 0
