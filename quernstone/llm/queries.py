@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.text import WS
 from quernstone.llm import budget as _budget
 from quernstone.llm import encode as _encode
 from quernstone.llm import leak as _leak
@@ -115,4 +116,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can say: the other operators are tested against brute force, round trips and public libraries."""
+    blank = "||".join(f"chr({ord(c)})" for c in WS)
+    return {
+        "p4_found": f"""with s as (select sft_id, unnest(list_distinct(regexp_extract_all(lower(idea || ' ' || code), '[\\p{{L}}\\p{{N}}_]+'))) as w
+  from sft where trim(idea, {blank}) <> '' and trim(code, {blank}) <> ''), n as (select sft_id, count(*) as n from s group by 1)
+select sft_id_a, sft_id_b from (select a.sft_id as sft_id_a, b.sft_id as sft_id_b, count(*) as k from s a join s b on a.w = b.w and a.sft_id < b.sft_id group by 1, 2)
+join n x on x.sft_id = sft_id_a join n y on y.sft_id = sft_id_b where k >= 0.75 * (x.n + y.n - k)"""
+    }
