@@ -36,6 +36,10 @@ fill as (
          coalesce(fit - 1, len(b))
   from (select f.k, p.b, f.n, list_position(list_transform(p.b, lambda v: v + 1 + f.n <= 255), true) as fit from fill p join frags f on f.k = p.k + 1))"""
 
+_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WS)
+_PROSE = f"(not regexp_matches(x, '[=:().\\\\]') and len(list_filter(regexp_split_to_array(x, '[{_CLASS}]+'), lambda w: w <> '')) > 10)"
+_FENCES = f"regexp_extract_all({_COMPLETION}, '(?s)```python\\s*\\n(.*?)```', 1)"
+
 _ORACLES = {
     "cpt_rows": "select kind || '/' || source || '/' || doc_id || '.rst' as filename, text from documents where text is not null",
     "path_order": "select filename, row_number() over (partition by string_split(filename, '/')[1] order by string_split(filename, '/')) as place from (select distinct filename from cpt where filename is not null)",
@@ -52,6 +56,12 @@ _ORACLES = {
     "verify_outputs": f"select sft_id, coalesce(trim(case when trace is null then code else chr(160) || chr(10) || expected_output || ' ' || chr(9) end, {_WS}) = trim(expected_output, {_WS}), false) as verified from sft",
     "truncate_output": "select doc_id, case when length(text) <= 12000 then text else left(text, 12000) || '... [truncated, ' || (length(text) - 12000) || ' more characters]' end as text from documents",
     "extract_fence": f"select sft_id, case when len(f) > 0 then trim(list_reduce(f, lambda x, y: case when length(y) > length(x) then y else x end), {_WS}) end as code from (select sft_id, regexp_extract_all({_COMPLETION}, '(?s)```python\\s*\\n(.*?)```', 1) as f from sft)",
+    "extract_code": f"""with l as (select sft_id, {_FENCES} as f, string_split(trim({_COMPLETION}, {_WS}), chr(10)) as lines from sft),
+a as (select *, list_position(list_transform(lines, lambda x: regexp_matches(x, '^[#\\-*>`]') or regexp_matches(x, '^(?:I''m|You|Here)') or {_PROSE}), false) as a from l),
+b as (select *, list_slice(lines, a, len(lines)) as rest from a),
+c as (select *, list_position(list_reverse(list_transform(rest, lambda x: regexp_matches(x, '^[#\\-*>`]') or contains(x, '---') or {_PROSE})), false) as p from b)
+select sft_id, case when len(f) > 0 then trim(list_reduce(f, lambda x, y: case when length(y) > length(x) then y else x end), {_WS})
+  when a is null or p is null then '' else trim(array_to_string(list_slice(rest, 1, len(rest) - p + 1), chr(10)), {_WS}) end as code from c""",
     "strip_prompt": f"select sft_id, case when starts_with(c, p) then substr(c, length(p) + 1) else c end as text from (select sft_id, {_COMPLETION} as c, {_PROMPT} as p from sft)",
     "token_counts": f"select doc_id, len(t) as n_tokens from ({_DOCS})",
     "token_windows": f"select doc_id, \"window\", array_to_string(x, ' ') as tokens from ({_WINDOWS})",
