@@ -109,10 +109,7 @@ class Document:
         self._points: Counter | None = None
 
     def abbreviation(self, word: str) -> bool:
-        if word in self.corpus:
-            known = self.corpus[word]
-        else:
-            known = False
+        known = self.corpus.get(word, False)
         if self._points is None:
             self._points = Counter(w.lower() for w in _NONFINAL.findall(self.text))
         here = self._points.get(word, 0)
@@ -219,7 +216,7 @@ def _inner_ends(text: str, a: int, b: int, doc: Document):
                 prev = text[i - 1] if i > a else " "
                 chunk = _CHUNK.search(text, max(a, i - 40), i).group()
                 single = len(chunk) >= 1 and (len(chunk) < 2 or not chunk[-2].isalnum()) and chunk[-1].isalpha() and chunk[-1].isupper()
-                if (c.isupper() or c.isalpha() and not lower or text[j] in "¿¡«“„") and (prev.isalnum() or prev in _CLOSE) and not single:
+                if (c.isupper() or c.isalpha() and not lower or text[j] in "¿¡«“„") and (prev.isalnum() or prev in _CLOSE or prev in "%°€$") and not single:
                     if chunk not in TITLES and chunk.lower() not in NEVER_FINAL and not doc.abbreviation(chunk.lower()):
                         yield e
             elif starts or text[j] in "¿¡«“„(":
