@@ -58,12 +58,13 @@ class Event(NamedTuple):
     instead: str
 
 
+#: every alternative starts with one of few characters; the look-ahead passes over all others at once
 _CODE = re.compile(
-    r"(?P<fence>^[ \t]{0,3}(?:>[ \t]?)?(?P<f>`{3,}(?=[^`\n]*$)|~{3,}).*(?:\n|\Z))"
+    r"(?=[ \t>`~<\\])(?:(?P<fence>^[ \t]{0,3}(?:>[ \t]?)?(?P<f>`{3,}(?=[^`\n]*$)|~{3,}).*(?:\n|\Z))"
     r"|(?P<pre><(?P<t>pre|code|tt|kbd|samp|script|style)\b[^<>]*>)"
     r"|(?P<verb>\\begin\{(?P<v>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\]|\{[^}\n]*\})*)"
     r"|(?P<inline>\\verb\*?(?P<d>[^\sA-Za-z*]))"
-    r"|(?P<span>(?<![`\\])`+(?!`))",
+    r"|(?P<span>(?<![`\\])`+(?!`)))",
     re.M | re.I,
 )
 
@@ -126,7 +127,7 @@ class _Html(HTMLParser):
         if tag not in TAGS and tag not in _WIKI_TAGS or any(v is None and k not in BARE_ATTRIBUTES for k, v in attrs):
             return
         raw = self.get_starttag_text()
-        if "href" not in tag and tag == "li":
+        if tag == "li":
             self._tag(tag, raw, "item", "\n- ")
         elif re.fullmatch("h[1-6]", tag):
             self._tag(tag, raw, "heading", "\n\n")
@@ -180,20 +181,20 @@ _LATEX = re.compile(
 _REGEX_LIKE = re.compile(r"\\[dwsDWSbB.+*?]|\(\?|[*+?]\)|\\\)[*+?]")
 
 _WIKI = re.compile(
-    r"(?P<head>^(?P<h>={2,6})(?!=)[ \t]*(?P<ht>[^=\n](?:.*?[^=\s])?)[ \t]*(?P=h)[ \t]*\r?$)"
+    r"(?=[=\[{|!#_' \t])(?:(?P<head>^(?P<h>={2,6})(?!=)[ \t]*(?P<ht>[^=\n](?:.*?[^=\s])?)[ \t]*(?P=h)[ \t]*\r?$)"
     r"|(?P<open>^[ \t]*\{\|[^\n]*\n?)|(?P<close>^[ \t]*\|\}[ \t]*\r?$)|(?P<row>^[ \t]*\|-[^\n|-]*\r?$)|(?P<hcell>^[ \t]*!(?![\[(])[ \t]*(?=\S)(?=[^\n]*\r?\n[ \t]*\|[-}]))"
     r"|(?P<redir>^#REDIRECT[ \t]*)"
     r"|(?P<link>\[\[(?P<lt>[^\[\]\n|]+)(?:\|(?P<ll>[^\[\]\n]*))?\]\])"
     r"|(?P<ext>\[(?:https?|ftp|mailto):[^\s\]]+(?:[ \t]+(?P<et>[^\]\n]+))?\](?!\())"
     r"|(?P<tpl>\{\{(?P<tt>[^{}]+)\}\})"
     r"|(?P<switch>(?-i:__[A-Z]{3,}__))"
-    r"|(?P<bold>(?<![\w'=])(?P<q>'{2,5})(?=[^\s'])(?P<bt>(?:[^'\n]|'(?!'))+?)(?<=\S)(?P=q)(?!'))",
+    r"|(?P<bold>(?<![\w'=])(?P<q>'{2,5})(?=[^\s'])(?P<bt>(?:[^'\n]|'(?!'))+?)(?<=\S)(?P=q)(?!')))",
     re.M | re.I,
 )
 _LITERAL = re.compile(r"[\d\s,.'\"-]*[,'\"][\d\s,.'\"-]*")
 
 _MARKDOWN = re.compile(
-    r"(?P<head>^[ \t]{0,3}(?:>[ \t]?)*\#{1,6}[ \t]+(?=\S))"
+    r"(?=[ \t#=\-|:>*+\[!<~_])(?:(?P<head>^[ \t]{0,3}(?:>[ \t]?)*\#{1,6}[ \t]+(?=\S))"
     r"|(?P<setext>(?<=\n)[ \t]{0,3}(?:={3,}|-{3,})[ \t]*\r?$)"
     r"|(?P<delim>^[ \t]{0,3}\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?(?:\n|\Z)|^[ \t]{0,3}\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*\r?(?:\n|\Z))"
     r"|(?P<quote>^[ \t]{0,3}(?:>(?!>>)[ \t]?)+(?=[^\s=]))"
@@ -207,7 +208,7 @@ _MARKDOWN = re.compile(
     r"|(?P<auto><(?:https?://|mailto:)[^<>\s]+>)"
     r"|(?P<strike>(?<!~)~~(?=[^\s~])(?P<st>(?:[^~\n]|~(?!~)|\n(?![ \t\r]*\n))+?)(?<=\S)~~(?!~))"
     r"|(?P<star>(?<![\w*\\])(?P<s>\*{1,3})(?=[^\s*])(?P<sx>(?:[^*\n]|\n(?![ \t\r]*\n)|(?<!\*)\*{1,2}(?!\*)(?=[^*\n]))+?)(?<=[^\s*])(?P=s)(?!\*))"
-    r"|(?P<low>(?<![\w\\])(?P<l>_{1,3})(?=[^\s_])(?P<lx>(?:[^_\n]|(?<=\w)_(?=\w)|\n(?![ \t\r]*\n))+?)(?<=[^\s_])(?P=l)(?!\w))",
+    r"|(?P<low>(?<![\w\\])(?P<l>_{1,3})(?=[^\s_])(?P<lx>(?:[^_\n]|(?<=\w)_(?=\w)|\n(?![ \t\r]*\n))+?)(?<=[^\s_])(?P=l)(?!\w)))",
     re.M,
 )
 #: letters of scripts that write no blanks do not count as the inside of a word
