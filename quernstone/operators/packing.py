@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.session import written
+
 
 def windows(tokens: Column, length: int) -> Column:
     """Full tumbling windows of ``length`` tokens."""
@@ -40,53 +44,81 @@ def tails(df: DataFrame, id_col: str, tokens: Column, length: int, overlap: floa
     return df.select(F.col(id_col), tokens.alias("__t")).select(id_col, made.alias("m")).where("m is not null").select(id_col, "m.kind", "m.tokens")
 
 
-def first_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, gap: int = 1, shards: int = 1) -> DataFrame:
+def first_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, gap: int = 1) -> DataFrame:
     """(`id_col`, `size_col`, ``bin``, ``place``): each fragment goes to the first bin with room for it and a separator.
 
-    Fragments are taken in descending size, ties by id. The rule is sequential: with one shard the result is that of the
-    plain algorithm, on ids and sizes only; with more, fragments are spread by hash, each shard is packed on its own and
-    bins are numbered ``shard + shards * bin``. Use shards for a corpus beyond a few million fragments.
+    Fragments are taken in descending size, ties by id; the result is that of the sequential rule, but no task sees all
+    fragments. What first fit does depends on sizes only, and equal sizes follow one another, so it is played on the driver
+    over sizes and their counts (:func:`plan_first_fit`, at most ``capacity`` + 1 sizes). A fragment then finds its bin from
+    its rank among those of its size; ranks come from a range partitioning by size and id, counted per partition. A null
+    size counts as 0, a size over the capacity is an error, repeated ids are fragments of their own.
     """
+    spark = fragments.sparkSession
     kind = fragments.schema[id_col].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size_col, id_col], ascending=[False, True], kind="stable")
-        bins, places = place_first_fit(pdf[size_col].tolist(), capacity, gap)
-        return pdf.assign(bin=[b * shards + s for b, s in zip(bins, pdf["__s"])], place=places)[[id_col, size_col, "bin", "place"]]
-
-    shard = F.pmod(F.xxhash64(id_col), F.lit(shards)) if shards > 1 else F.lit(0).cast("bigint")
-    sized = fragments.select(id_col, F.col(size_col).cast("bigint").alias(size_col), shard.alias("__s"))
-    return sized.groupBy("__s").applyInPandas(pack, f"`{id_col}` {kind}, `{size_col}` bigint, bin bigint, place int")
-
-
-def place_first_fit(sizes: list[int], capacity: int, gap: int = 1) -> tuple[list[int], list[int]]:
-    """First fit through a tree of the room left in each bin: logarithmic per item."""
-    width = 1
-    while width < max(1, len(sizes)):
-        width *= 2
-    room = [-1] * (2 * width)
-    count = [0] * width
-    opened, bins, places = 0, [], []
-    for size in sizes:
-        need = size + gap
-        if room[1] >= need:
-            node = 1
-            while node < width:
-                node = 2 * node if room[2 * node] >= need else 2 * node + 1
-            at = node - width
-            left = room[node] - need
-        else:
-            at, node = opened, opened + width
-            opened += 1
-            left = capacity - size
-        room[node] = left
-        while node > 1:
-            node //= 2
-            room[node] = max(room[2 * node], room[2 * node + 1])
-        bins.append(at)
-        places.append(count[at])
-        count[at] += 1
-    return bins, places
+    sized = fragments.select(F.col(id_col).alias("i"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("n"))
+    sized = sized.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "n", "i").withColumn("p", F.spark_partition_id())
+    sized = written(sized, "fragments")
+    counts = {r["n"]: r["c"] for r in sized.groupBy("n").agg(F.count("*").alias("c")).where(F.col("n") <= capacity).collect()}
+    if sized.where(F.col("n") > capacity).head(1):
+        raise ValueError("a fragment is larger than the capacity")
+    shared = spark.sparkContext.broadcast(plan_first_fit(counts, capacity, gap))
+    per = sized.groupBy("n", "p").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("n").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("n", "p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
+    ranked = sized.join(offsets, ["n", "p"]).select("i", "n", (F.row_number().over(Window.partitionBy("p", "n").orderBy("i")) - 1 + F.col("b")).alias("r"))
+
+    def place(batches):
+        for b in batches:
+            n, r = b.column(1).to_numpy(), b.column(2).to_numpy()
+            bins, places = np.zeros(len(n), np.int64), np.zeros(len(n), np.int32)
+            for size in np.unique(n).tolist():
+                on = n == size
+                first, into, each, held = shared.value[size]
+                k = np.searchsorted(first, r[on], side="right") - 1
+                past = r[on] - first[k]
+                bins[on] = into[k] + past // each[k]
+                places[on] = held[k] + past % each[k]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bins), pa.array(places)], [id_col, size_col, "bin", "place"])
+
+    return ranked.mapInArrow(place, f"`{id_col}` {kind}, `{size_col}` bigint, bin bigint, place int")
+
+
+def plan_first_fit(counts: dict[int, int], capacity: int, gap: int = 1) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each size the segments of its ranks: (first rank, first bin, fragments per bin, fragments held before).
+
+    Bins are kept as runs of neighbours with equal room. A run takes as many of a size as its bins hold; only the last one
+    touched is left in between, so a size adds at most a few runs, and their number does not depend on the counts.
+    """
+    runs: list[list[int]] = []  # number of bins, room, fragments held
+    plan: dict[int, list[tuple[int, int, int, int]]] = {}
+    for size in sorted(counts, reverse=True):
+        left, rank, start, need = counts[size], 0, 0, size + gap
+        segments, after = plan.setdefault(size, []), []
+        for n, room, held in runs:
+            each = room // need if need else left
+            if not left or not each:
+                after.append([n, room, held])
+            else:
+                full, rest = min(n, left // each), 0
+                if full < n:
+                    rest = left - full * each
+                segments.append((rank, start, each, held))
+                rank += full * each + rest
+                left -= full * each + rest
+                after += [[m, room - k * need, held + k] for m, k in ((full, each), (1 if rest else 0, rest), (n - full - (1 if rest else 0), 0)) if m]
+            start += n
+        if left:
+            each = 1 + (capacity - size) // need if need else left
+            full, rest = divmod(left, each)
+            segments.append((rank, start, each, 0))
+            after += [[m, capacity - size - (k - 1) * need, k] for m, k in ((full, each), (1 if rest else 0, rest)) if m]
+        runs = []
+        for run in after:
+            if runs and runs[-1][1:] == run[1:]:
+                runs[-1][0] += run[0]
+            else:
+                runs.append(run)
+    return {size: tuple(np.array(c, np.int64) for c in zip(*segments)) for size, segments in plan.items() if segments}
 
 
 def place_best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -106,15 +138,17 @@ def place_best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def best_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, split: bool = False, shards: int = 1) -> DataFrame:
+def best_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, split: bool = False, shard_items: int = 100_000) -> DataFrame:
     """(`id_col`, ``part``, `size_col`, ``bin``): best-fit packing without separators. Items over the capacity are truncated,
-    or with ``split`` come in parts of the capacity and a rest."""
+    or with ``split`` come in parts of the capacity and a rest. Ids and sizes are spread by hash over shards of about
+    ``shard_items``, each packed on its own; bins are numbered ``shard + shards * bin``."""
     kind = fragments.schema[id_col].dataType.simpleString()
-    size = F.col(size_col).cast("bigint")
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
     parts = F.greatest(F.lit(1), F.ceil(size / capacity)).cast("int") if split else F.lit(1)
     items = fragments.select(F.col(id_col), size.alias("__n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    items = items.select(id_col, "part", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("part") * capacity).alias(size_col))
-    items = items.withColumn("__s", F.pmod(F.xxhash64(id_col, "part"), F.lit(shards)) if shards > 1 else F.lit(0).cast("bigint"))
+    items = written(items.select(id_col, "part", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("part") * capacity).alias(size_col)), "items")
+    shards = max(1, -(-items.count() // shard_items))
+    items = items.withColumn("__s", F.pmod(F.xxhash64(id_col, "part"), F.lit(shards)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([size_col, id_col, "part"], ascending=[False, True, True], kind="stable")
@@ -124,18 +158,19 @@ def best_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capaci
     return items.groupBy("__s").applyInPandas(pack, f"`{id_col}` {kind}, part int, `{size_col}` bigint, bin bigint")
 
 
-def pack_documents(df: DataFrame, id_col: str, tokens: Column, sequence_length: int, overlap: float = 0.3, separator: str = "<eos>", shards: int = 1) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str, tokens: Column, sequence_length: int, overlap: float = 0.3, separator: str = "<eos>") -> DataFrame:
     """(``part``, ``ordinal``, ``tokens``): full windows of every document (part 0), then bins of leftovers (part 1).
 
     Every sequence is shorter than ``sequence_length``, which leaves room for the end token a trainer adds. Bins hold
-    their fragments in descending size with the separator between. The empty document is a fragment of no tokens.
+    their fragments in descending size with the separator between. The empty document is a fragment of no tokens. Ids must
+    be unique.
     """
     length = sequence_length - 1
     left = tails(df, id_col, tokens, length, overlap)
     full = token_windows(df, id_col, tokens, length).select(F.concat_ws(":", id_col, "window").alias("ordinal"), "tokens")
     last = left.where("kind = 'window'").select(F.concat_ws(":", id_col, F.lit("last")).alias("ordinal"), "tokens")
     fragments = left.where("kind <> 'window'")
-    placed = first_fit_decreasing(fragments.select(id_col, F.size("tokens").alias("n")), id_col, "n", length, shards=shards)
+    placed = first_fit_decreasing(fragments.select(id_col, F.size("tokens").alias("n")), id_col, "n", length)
     joined = fragments.join(placed, id_col).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("f"))
     glued = F.flatten(F.transform("f", lambda x, i: F.when(i == 0, x["tokens"]).otherwise(F.concat(F.array(F.lit(separator)), x["tokens"]))))
     bins = joined.select(F.lit(1).alias("part"), F.col("bin").cast("string").alias("ordinal"), glued.alias("tokens"))

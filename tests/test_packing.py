@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,20 +56,34 @@ def test_empty_table(spark):
     assert P.pack_documents(df, "id", tokens("text"), 64).collect() == []
 
 
-@given(st.lists(st.integers(0, 63), max_size=80))
-def test_first_fit_tree(sizes):
-    sizes = sorted(sizes, reverse=True)
-    bins, places = P.place_first_fit(sizes, 63)
-    held = []
-    for size, b, p in zip(sizes, bins, places):
-        want = next((k for k, (n, _) in enumerate(held) if n + 1 + size <= 63), len(held))
-        assert b == want
+@given(st.lists(st.integers(0, 63), max_size=120), st.integers(0, 2))
+def test_first_fit_plan_equals_the_sequential_rule(sizes, gap):
+    plan = P.plan_first_fit({s: sizes.count(s) for s in set(sizes)}, 63, gap)
+    held, seen = [], {}
+    for size in sorted(sizes, reverse=True):
+        want = next((k for k, (n, _) in enumerate(held) if n + gap + size <= 63), len(held))
+        rank = seen.get(size, 0)
+        seen[size] = rank + 1
+        first, into, each, before = plan[size]
+        k = int((first <= rank).sum()) - 1
+        got = into[k] + (rank - first[k]) // each[k], before[k] + (rank - first[k]) % each[k]
         if want == len(held):
             held.append((size, 1))
-            assert p == 0
+            assert got == (want, 0)
         else:
-            assert p == held[want][1]
-            held[want] = (held[want][0] + 1 + size, held[want][1] + 1)
+            assert got == (want, held[want][1])
+            held[want] = (held[want][0] + gap + size, held[want][1] + 1)
+
+
+def test_first_fit_plan_does_not_grow_with_counts():
+    small = P.plan_first_fit({s: 10 for s in range(256)}, 255)
+    large = P.plan_first_fit({s: 10**9 for s in range(256)}, 255)
+    assert sum(len(x[0]) for x in large.values()) < 20 * max(1, sum(len(x[0]) for x in small.values()))
+
+
+def test_first_fit_refuses_what_cannot_fit(spark):
+    with pytest.raises(ValueError):
+        P.first_fit_decreasing(spark.createDataFrame([(1, 64)], "id int, n int"), "id", "n", 63)
 
 
 @given(st.lists(st.integers(1, 100), max_size=60))
