@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quernstone.functions.text import WS, log_lines
+from quernstone.functions.text import WS, strip, visible
+from quernstone.session import written
 
 
 def assemble(pending: str, chunk: str) -> tuple[list[str], str]:
@@ -19,11 +22,64 @@ def assemble(pending: str, chunk: str) -> tuple[list[str], str]:
 
 def log_batch(chunks: DataFrame) -> DataFrame:
     """(``stream``, ``line_no``, ``line``) of chunks (``stream``, ``seq``, ``chunk``): each stream on its own, an
-    unterminated last line is lost. Null chunks add nothing."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("chunk"))))
-    text = F.array_join(F.transform(ordered, lambda x: x["chunk"]), "")
-    lines = chunks.groupBy("stream").agg(text.alias("t")).select("stream", log_lines("t").alias("l"))
-    return lines.select("stream", F.posexplode("l").alias("line_no", "line"))
+    unterminated last line is lost. Null chunks add nothing.
+
+    A stream may be larger than a task: chunks are range-partitioned by stream and sequence, every partition gives its own
+    complete lines, and only what stands before the first and after the last line break of a partition is stitched
+    together, one row per stream and partition.
+    """
+    spark = chunks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = chunks.select("stream", "seq", "chunk").where("stream is not null").repartitionByRange(parts, "stream", "seq").sortWithinPartitions("stream", "seq")
+
+    def cut(batches):
+        p, name, head, pending, number = TaskContext.get().partitionId(), None, None, "", 0
+
+        def ends():
+            # text without any line break stands as "all"; else as the "head" before the first and the "tail" after the last
+            return [(name, p, "all", 0, pending)] if head is None else [(name, p, "head", 0, head), (name, p, "tail", number, pending)]
+
+        for b in batches:
+            rows = []
+            for stream, chunk in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if stream != name:
+                    rows += ends() if name is not None else []
+                    name, head, pending, number = stream, None, "", 0
+                if head is None and "\n" in (chunk or ""):
+                    first, chunk = chunk.split("\n", 1)
+                    head, pending = pending + first, ""
+                if head is None:
+                    pending += chunk or ""
+                    continue
+                lines, pending = assemble(pending, chunk or "")
+                rows += [(name, p, "line", number + k, x) for k, x in enumerate(lines)]
+                number += len(lines)
+            yield _batch(rows)
+        if name is not None:
+            yield _batch(ends())
+
+    made = written(ordered.mapInArrow(cut, "stream string, p int, kind string, n int, text string"), "log")
+    edges = made.where("kind <> 'line'")
+    # a line that runs over partitions belongs to the group that the next partition with a line break closes
+    whole = edges.groupBy("stream", "p").agg(F.max(F.when(F.col("kind") == "tail", F.col("n"))).alias("inner"))
+    by_stream = Window.partitionBy("stream").orderBy("p")
+    groups = whole.withColumn("g", F.coalesce(F.count("inner").over(by_stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = edges.join(groups, ["stream", "p"]).withColumn("g", F.col("g") + F.when(F.col("kind") == "tail", 1).otherwise(0))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", (F.col("kind") == "tail").alias("t"), "text"))), lambda x: x["text"]), "")
+    line = visible(text)
+    stitched = pieces.groupBy("stream", "g").agg(line.alias("line"))
+    first = groups.where("inner is not null").join(stitched, ["stream", "g"]).withColumn("kept", ~F.col("line").contains("\x1b") & (strip("line") != ""))
+    placed = first.withColumn("before", F.coalesce(F.sum(F.col("inner") + F.col("kept").cast("int")).over(by_stream.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = made.where("kind = 'line'").join(placed.select("stream", "p", "before", "kept"), ["stream", "p"])
+    return (
+        inner.select("stream", (F.col("before") + F.col("kept").cast("int") + F.col("n")).cast("int").alias("line_no"), F.col("text").alias("line"))
+        .unionByName(placed.where("kept").select("stream", F.col("before").cast("int").alias("line_no"), "line"))
+    )
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], ["stream", "p", "kind", "n", "text"])
 
 
 def log_stream(chunks: DataFrame) -> DataFrame:

@@ -125,6 +125,22 @@ def test_logs_batch_and_stream_agree(spark, tmp_path):
     assert sorted((r["stream"], r["line_no"], r["line"]) for r in got.collect()) == want
 
 
+def test_log_of_one_hot_stream_against_plain(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for stream, n in (("hot", 400), ("a", 3), ("b", 40)):
+        rows += [(stream, k, rng.choice([None, "", "x", "ab\n", "\n", "c\rd", "q\x1b[0m\n", " \n", "one\ntwo\nthr"])) for k in range(n)]
+    want = []
+    for stream in ("hot", "a", "b"):
+        lines, _ = logs.assemble("", "".join(c or "" for s, _, c in rows if s == stream))
+        want += [(stream, k, x) for k, x in enumerate(lines)]
+    rng.shuffle(rows)
+    got = logs.log_batch(spark.createDataFrame(rows, "stream string, seq int, chunk string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_unseen_documents(spark):
     docs = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, text string")
     seen = docs.where("name = 'a'").select("name", F.sha2("text", 256).alias("hash"))
