@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import datasets as D
 from quernstone.operators import doctree, generation, packing, quality, render
-from quernstone.session import shared_dir, table
+from quernstone.session import shared_dir, spread, table
 from quernstone.sources import files
 from quernstone.streaming import logs
 
@@ -152,7 +152,7 @@ def token_counts(s, d):
 
 
 def _documents(s, d):
-    return table(s, d, "documents").where("text is not null")
+    return spread(table(s, d, "documents")).where("text is not null")
 
 
 @query
