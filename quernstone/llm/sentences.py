@@ -39,7 +39,7 @@ _CHUNK = re.compile(r"[^\s\"'“”„«»()\[\]{}（）「」『』,;:]*\Z")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]\Z")
 _SPACED = re.compile(r"(?<!\w)([^\W\d_]{1,2})\.\s+\Z")
 _WORD = re.compile(r"[^\W\d_]+")
-_SHORT = re.compile(r"(?<![\w.])[^\W\d_]{1,7}(?!\w)")
+_WHOLE = re.compile(r"(?<![\w.])[^\W\d_]++(?!\w)")
 #: a short word with a point that does not end a sentence: a comma, a number or a plain lower-case word follows
 _NONFINAL = re.compile(r"(?<![\w.])([^\W\d_]{1,7})\.(?=[,;]|[ \t]+(?:\d|[a-zà-öø-ÿа-яё]+(?![\w(.]*[_(])[ ,;.]))")
 
@@ -277,28 +277,35 @@ def _inner_ends(text: str, a: int, b: int, doc: Document):
 def corpus_evidence(df: DataFrame, text_col: str = "text", floor: float = 2e-5, share: float = 0.5) -> dict[str, bool]:
     """Abbreviations of the corpus (word -> True) and its ordinary words (``^word`` -> True), from all texts.
 
-    Words of up to seven letters are counted per partition and then summed: how often they occur, how often with a point
-    that does not end a sentence, how often written small. Kept are those whose evidence makes up at least ``floor`` of
-    all evidence of the kind; so there are at most 1/``floor`` of each, however large the corpus.
+    Words of every length are counted per partition and then summed: how often they occur, how often with a point that
+    does not end a sentence (up to seven letters), how often written small. Kept are those whose evidence makes up at least
+    ``floor`` of all evidence of the kind: points, small words of up to seven letters, longer ones. So there are at most
+    1/``floor`` of each, however large the corpus.
     """
 
+    def record(total, inner, small):
+        words = list(total)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, inner, small))],
+            ["word", "total", "inner", "small"],
+        )
+
     def count(batches):
         total, inner, small = Counter(), Counter(), Counter()
         for b in batches:
+            if len(total) > 200_000:  # handed on early, to be summed with the rest
+                yield record(total, inner, small)
+                total, inner, small = Counter(), Counter(), Counter()
             for text in b.column(0).to_pylist():
                 if text:
                     inner.update(w.lower() for w in _NONFINAL.findall(text))
-                    words = Counter(_SHORT.findall(text))
+                    words = Counter(_WHOLE.findall(text))
                     for w, n in words.items():
                         low = w.lower()
                         total[low] += n
                         if low == w:
                             small[low] += n
-        words = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (total, inner, small))],
-            ["word", "total", "inner", "small"],
-        )
+        yield record(total, inner, small)
 
     counts = (
         df.select(text_col)
@@ -307,12 +314,14 @@ def corpus_evidence(df: DataFrame, text_col: str = "text", floor: float = 2e-5,
         .agg(*(F.sum(c).alias(c) for c in ("total", "inner", "small")))
     )
     counts = written(counts, "words")
-    sums = counts.agg(F.sum("inner").alias("inner"), F.sum("small").alias("small")).first()
+    long = F.length("word") > 7
+    sums = counts.agg(F.sum("inner").alias("inner"), F.sum(F.when(~long, F.col("small"))).alias("short"), F.sum(F.when(long, F.col("small"))).alias("long")).first()
     found: dict[str, bool] = {}
     abbreviations = counts.where((F.col("inner") >= floor * (sums["inner"] or 0)) & (F.col("inner") > 2) & (F.col("inner") >= share * F.col("total")))
     for r in abbreviations.select("word").toLocalIterator():
         found[r["word"]] = True
-    for r in counts.where((F.col("small") >= floor * (sums["small"] or 0)) & (F.col("small") > 2)).select("word").toLocalIterator():
+    least = F.when(long, floor * (sums["long"] or 0)).otherwise(floor * (sums["short"] or 0))
+    for r in counts.where((F.col("small") >= least) & (F.col("small") > 2)).select("word").toLocalIterator():
         found["^" + r["word"]] = True
     return found
 

@@ -302,6 +302,15 @@ def test_sentences_frame(spark):
     assert sentences.corpus_evidence(texts).get("approx")
 
 
+def test_long_words_are_evidence_of_a_sentence_end(spark):
+    rows = [(k, "They met afterwards, and therefore left.") for k in range(5)]
+    texts = spark.createDataFrame([*rows, (9, "We chose option B. Afterwards it ran. It was bought by I.B.M. Therefore it grew.")], "doc_id bigint, text string")
+    evidence = sentences.corpus_evidence(texts)
+    assert evidence["^afterwards"] and evidence["^therefore"] and evidence["^left"]
+    got = sentences.split_sentences(texts.where("doc_id = 9"), evidence=evidence).orderBy("sentence").collect()
+    assert [r["sentence_text"] for r in got] == ["We chose option B.", "Afterwards it ran.", "It was bought by I.B.M.", "Therefore it grew."]
+
+
 # ---- packing
 
 
