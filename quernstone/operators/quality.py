@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import keyword
+import re
 import string
 import sys
 
@@ -100,17 +102,57 @@ def decontaminated(rows: DataFrame, text: Column, items: DataFrame, item_text: C
     return rows.withColumn("__k", F.coalesce(normal_prompt(text), F.lit(""))).join(keys, "__k", "left_anti").drop("__k")
 
 
-def imported_modules(code: Column) -> Column:
-    """Top-level modules a snippet imports, in order of appearance."""
-    plain = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*import[ \t]+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
-    come_from = F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][A-Za-z0-9_]*)[A-Za-z0-9_.]*[ \t]+import"), F.lit(1))
-    return F.array_distinct(F.concat(plain, come_from))
+#: string literals and comments, also those of code that does not parse
+_MASKED = re.compile(r'''("""|\'\'\')(?:\\[\s\S]|[^\\])*?\1|"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*'|#[^\n]*''')
+_IMPORT = re.compile(r"(?:^|[;:])[ \t\f]*(?:lazy[ \t]+)?(?:import\b[ \t]*([^;\n]+)|from[ \t]+([^\W\d]\w*)[\w. \t]*?[ \t]import\b)", re.M)
+_NAME = re.compile(r"\s*([^\W\d]\w*)")
+
+
+def _masked(code: str) -> str:
+    """Code without comments, contents of strings and joined lines."""
+    code = code.replace("\r\n", "\n").replace("\r", "\n")
+    return _MASKED.sub(lambda m: "" if m.group()[0] == "#" else "''", code).replace("\\\n", " ")
+
+
+def _parsed(code: str) -> ast.AST | None:
+    try:
+        return ast.parse(code)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def imported_modules(code: str | None) -> list[str]:
+    """Top-level modules a snippet imports, each once: every name of every statement, relative imports aside.
+
+    Read from the syntax tree, or from the text of the statements where a snippet does not parse (as with literals newer
+    than this Python).
+    """
+    found: list[str] = []
+    tree = _parsed(code or "")
+    if tree is not None:
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Import):
+                found += [x.name.partition(".")[0] for x in node.names]
+            elif isinstance(node, ast.ImportFrom) and not node.level:
+                found.append(node.module.partition(".")[0])
+    else:
+        for names, source in _IMPORT.findall(_masked(code)):
+            firsts = [source] if source else [m[1] for m in map(_NAME.match, names.split(",")) if m]
+            found += [x for x in firsts if not keyword.iskeyword(x)]
+    return list(dict.fromkeys(found))
 
 
 def foreign_imports(df: DataFrame, id_col: str, code: Column, allowed: list[str] | None = None) -> DataFrame:
     """(`id_col`, ``module``): imports outside the standard library."""
-    allowed = allowed if allowed is not None else sorted(sys.stdlib_module_names)
-    return df.select(id_col, F.explode(F.array_except(imported_modules(code), F.array(*[F.lit(m) for m in allowed]))).alias("module"))
+    known = frozenset(allowed if allowed is not None else sys.stdlib_module_names)
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, m) for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in imported_modules(c) if m not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], b.column(0).type), pa.array([m for _, m in rows], pa.string())], [id_col, "module"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, code.alias("__code")).where(F.contains("__code", F.lit("import"))).mapInArrow(run, f"`{id_col}` {kind}, module string")
 
 
 def has_template_string(code: Column) -> Column:

@@ -301,7 +301,7 @@ def source_catalogue(s, d):
 
 @query
 def foreign_imports(s, d):
-    return quality.foreign_imports(table(s, d, "sft").where("code is not null"), "sft_id", F.col("code"), ["sys", "os", "re", "json", "string"])
+    return quality.foreign_imports(table(s, d, "sft").where("code is not null"), "sft_id", F.col("code"))
 
 
 @query

@@ -175,6 +175,23 @@ def test_quality_gates(spark):
     assert got[3] == (False, []) and "fstring" in got[2][1]
 
 
+def test_every_imported_name_is_seen(spark, tmp_path):
+    from quernstone.plans import queries
+
+    codes = [
+        "import os, requests",
+        "import json; import numpy",
+        "import math\nfrom typing import Any",
+        '"""\nimport fake\n"""\nfrom . import near\nif x: import a.b as c, d\nfrom e.f import (g,\n h)',
+        't = t"{x}"\nimport os, \\\n  requests as r  # import no\nx = """\nimport fake\n"""; import numpy.linalg\nfrom .near import y\nlazy import w\nfrom math import(pi)',
+        "say = t'import fake'",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(codes)), "sft_id bigint, code string").write.parquet(str(tmp_path / "sft.parquet"))
+    got = sorted((r["sft_id"], r["module"]) for r in queries.queries()["foreign_imports"](spark, str(tmp_path)).collect())
+    assert got == [(0, "requests"), (1, "numpy"), (3, "a"), (3, "d"), (3, "e"), (4, "numpy"), (4, "requests"), (4, "w")]
+
+
 def test_written_tables_and_lineage(spark):
     from quernstone import session
 
