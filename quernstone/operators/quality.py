@@ -160,6 +160,40 @@ def has_template_string(code: Column) -> Column:
     return code.rlike(r"(?:^|[^A-Za-z0-9_'\"])[tT][rR]?['\"]|(?:^|[^A-Za-z0-9_'\"])[rR][tT]['\"]")
 
 
+_FROM = re.compile(r"\bfrom[ \t]+([\w.]+)[ \t]+import\b[ \t]*(\([^)]*\)|[^;\n]*)")
+
+
+def consumes_templates(code: str | None) -> bool:
+    """Whether a snippet, outside strings and comments, imports or uses ``string.templatelib``, or uses a ``Template`` or
+    ``Interpolation`` that it neither defines nor takes from another module."""
+    text = _masked(code or "")
+    if re.search(r"\btemplatelib\b", text):
+        return True
+    other = [names.strip("()") for module, names in _FROM.findall(text)]
+    star = any(module == "string" and "*" in names for module, names in _FROM.findall(text))
+    return any(
+        re.search(rf"(?<![\w.]){name}\b", text)
+        and not re.search(rf"\b(?:class|def)[ \t]+{name}\b|(?m:^[ \t]*{name}[ \t]*=(?!=))|\bas[ \t]+{name}\b", text)
+        and not any(re.search(rf"\b{name}\b", names) for names in other)
+        and not (star and name == "Template")
+        for name in ("Template", "Interpolation")
+    )
+
+
+def on_target(df: DataFrame, id_col: str, code: Column) -> DataFrame:
+    """(`id_col`, ``on_target``): whether a snippet has the feature, a t-string literal or a consumer of templates."""
+
+    def run(batches):
+        for b in batches:
+            got = [c is not None and consumes_templates(c) or known for known, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.bool_())], [id_col, "on_target"])
+
+    named = F.contains(code, F.lit("Template")) | F.contains(code, F.lit("Interpolation")) | F.contains(code, F.lit("templatelib"))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(id_col, has_template_string(code).alias("__literal"), F.when(named, code).alias("__code"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, on_target boolean")
+
+
 def _old_forms(code: str | None) -> list[str] | None:
     """Old string formatting in a snippet; None where it does not parse. Format specifications inside slots are exempt."""
     if code is None:

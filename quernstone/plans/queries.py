@@ -306,7 +306,7 @@ def foreign_imports(s, d):
 
 @query
 def on_target(s, d):
-    return table(s, d, "sft").where("code is not null").select("sft_id", quality.has_template_string(F.col("code")).alias("on_target"))
+    return quality.on_target(table(s, d, "sft").where("code is not null"), "sft_id", F.col("code"))
 
 
 @query

@@ -192,6 +192,27 @@ def test_every_imported_name_is_seen(spark, tmp_path):
     assert got == [(0, "requests"), (1, "numpy"), (3, "a"), (3, "d"), (3, "e"), (4, "numpy"), (4, "requests"), (4, "w")]
 
 
+def test_template_consumers_are_on_target(spark, tmp_path):
+    from quernstone.plans import queries
+
+    codes = {
+        "from string.templatelib import Interpolation as I\nx = 1": True,
+        "from string import templatelib": True,
+        "def html(t: Template) -> str:\n    return ''.join(t.strings)": True,
+        "match part:\n    case Interpolation(value):\n        pass": True,
+        "say = t'{x}'": True,
+        "from string import Template\nTemplate('$x').substitute(x=1)": False,
+        "import string\nstring.Template('$x')": False,
+        "from jinja2 import (Environment,\n  Template)\nTemplate('x')": False,
+        "class Template:\n    pass\nTemplate()": False,
+        "# Template of string.templatelib\nx = 'Template'": False,
+        "TemplateView()": False,
+    }
+    spark.createDataFrame(list(enumerate(codes)), "sft_id bigint, code string").write.parquet(str(tmp_path / "sft.parquet"))
+    got = {r["sft_id"]: r["on_target"] for r in queries.queries()["on_target"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(codes))] == list(codes.values())
+
+
 def test_written_tables_and_lineage(spark):
     from quernstone import session
 
