@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -122,28 +123,22 @@ def choose(multiplicity: dict[int, int], proportions: dict[str, float], most_bit
 
     The reachable totals of a split are a bitset: each size enters in powers of two of its multiplicity, as one shift.
     The number of different sizes is at most about the square root of twice the rows. If all bitsets together would
-    exceed ``most_bits``, each size first gives its proportional part, and the bitset only settles what is left over.
+    exceed ``most_bits``, only one in about the square root of their number is kept and those between are made again;
+    the result is the same.
     """
     left = dict(multiplicity)
     total = sum(s * n for s, n in multiplicity.items())
     taken: dict[int, list[int]] = {s: [] for s in multiplicity}
     for name in list(proportions)[1:]:
         target = round(total * proportions[name] / sum(proportions.values()))
-        got = dict.fromkeys(left, 0)
-        bits = sum(n.bit_length() for n in left.values()) * (target + 1)
-        if bits > most_bits:
-            for s, n in left.items():
-                got[s] = int(min(n, target * n // max(1, total)))
-        rest = target - sum(s * n for s, n in got.items())
-        for s, n in _closest({s: n - got[s] for s, n in left.items()}, max(0, rest)).items():
-            got[s] += n
+        got = _closest(left, target, most_bits)
         for s in left:
-            left[s] -= got[s]
-            taken[s].append(got[s])
+            left[s] -= got.get(s, 0)
+            taken[s].append(got.get(s, 0))
     return {s: tuple(t) for s, t in taken.items() if any(t)}
 
 
-def _closest(multiplicity: dict[int, int], target: int) -> dict[int, int]:
+def _closest(multiplicity: dict[int, int], target: int, most_bits: int) -> dict[int, int]:
     """The sub-multiset of sizes whose total is closest to ``target`` (the lower one on a tie)."""
     items = []
     for size, n in sorted(multiplicity.items(), reverse=True):
@@ -155,10 +150,13 @@ def _closest(multiplicity: dict[int, int], target: int) -> dict[int, int]:
             n -= part
             part *= 2
     mask = (1 << (2 * target + 2)) - 1
-    reach, history = 1, []
+    step = 1 if len(items) * (2 * target + 2) <= most_bits else max(1, math.isqrt(len(items)))
+    reach, used, kept = 1, 0, []
     for size, part in items:
-        history.append(reach)
+        if used % step == 0:
+            kept.append(reach)
         reach |= reach << size * part & mask
+        used += 1
         if reach >> target & 1:
             break
     low = reach & ((1 << (target + 1)) - 1)
@@ -167,11 +165,16 @@ def _closest(multiplicity: dict[int, int], target: int) -> dict[int, int]:
     if above and (above & -above).bit_length() < target - below:
         below = target + (above & -above).bit_length()
     got: dict[int, int] = {}
-    for (size, part), before in zip(reversed(items[: len(history)]), reversed(history)):
-        if before >> below & 1:
-            continue
-        got[size] = got.get(size, 0) + part
-        below -= size * part
+    while kept:
+        stretch, history = items[(len(kept) - 1) * step : used], [kept.pop()]
+        for size, part in stretch[:-1]:
+            history.append(history[-1] | history[-1] << size * part & mask)
+        for (size, part), before in zip(reversed(stretch), reversed(history)):
+            if before >> below & 1:
+                continue
+            got[size] = got.get(size, 0) + part
+            below -= size * part
+        used -= len(stretch)
     return got
 
 

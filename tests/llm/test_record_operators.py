@@ -62,6 +62,14 @@ def test_choose_is_closest():
     assert abs(sum(s * t[0] for s, t in taken.items()) - round(0.1 * sum(s * n for s, n in big.items()))) <= 1
 
 
+def test_choose_is_the_same_whatever_is_kept():
+    rng = random.Random(4)
+    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
+    for _ in range(60):
+        sizes = {s: rng.randrange(1, 9) for s in rng.sample([6, 10, 15, 21, 35, 77], 3)}
+        assert splits.choose(sizes, shares, most_bits=1) == splits.choose(sizes, shares)
+
+
 def sft(spark, rows):
     df = spark.createDataFrame(rows, "sft_id bigint, filename string, idea string")
     return df.selectExpr("*", "'x' as split", "'x' as component", "'x' as root", "'x' as name", "'x' as v")
