@@ -283,7 +283,7 @@ def events(text: str) -> list[Event]:
                     found += [Event(a, e.end + m.start(1), "latex", "command", ""), Event(e.end + m.end(1), e.end + m.end(), "latex", "command end", "")]
         if math_spans:
             masked = _masked(masked, math_spans)
-    if "[[" in masked or "{" in masked or "''" in masked or "==" in masked or "__" in masked or "[http" in masked or "|" in masked or "#R" in masked:
+    if any(x in masked for x in ("[", "{", "''", "==", "__", "|", "#R", "#r")):
         in_table = False
         for m in _WIKI.finditer(masked):
             a, b = m.span()

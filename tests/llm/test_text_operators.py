@@ -256,6 +256,20 @@ def test_leak_frame(spark):
         leak.leaked(frame(spark, rows, "doc_id"), items, most_items=2)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Write to [mailto:a@b.org Name] first.", "Write to Name first."),
+        ("Load [ftp://host/x label] first.", "Load label first."),
+        ("See [HTTP://host/x label] first.", "See label first."),
+        ("#redirect Other page", "Other page"),
+    ],
+)
+def test_wiki_markup_without_other_marks(text, want):
+    got, found, _ = markup.clean(text)
+    assert (got.strip(), found) == (want, ["wiki"])
+
+
 # ---- sentences
 
 EVIDENCE = {"approx": True, "etc": False, "^the": True, "^since": True, "^we": True}
