@@ -178,6 +178,7 @@ _LATEX = re.compile(
     r"|(?P<bare>\\(?P<b>[A-Za-z]{2,})(?![A-Za-z]))",
     re.S,
 )
+_NESTED = re.compile(r"\\[A-Za-z]+\*?\{([^{}]*)\}")
 _REGEX_LIKE = re.compile(r"\\[dwsDWSbB.+*?]|\(\?|[*+?]\)|\\\)[*+?]")
 
 _WIKI = re.compile(
@@ -256,7 +257,7 @@ def events(text: str) -> list[Event]:
         if tags:
             masked = _masked(masked, [(e.start, e.end) for e in tags])
     if "\\" in masked or "$" in masked:
-        math_spans = []
+        math_spans, arguments = [], []
         for m in _LATEX.finditer(masked):
             kind = m.lastgroup if m.lastgroup in ("env", "item", "ref", "bare") else next(k for k in ("env", "disp", "paren", "math", "head", "item", "ref", "url", "cmd", "bare") if m[k])
             if kind == "bare" and m["b"] not in BARE_COMMANDS:
@@ -273,14 +274,17 @@ def events(text: str) -> list[Event]:
             inner = m.span(group)
             name = {"disp": "formula", "paren": "formula", "math": "formula", "head": "heading"}.get(kind, "command")
             found += [Event(m.start(), inner[0], "latex", name, ""), Event(inner[1], m.end(), "latex", name + " end", "")]
-            if name == "formula":
-                math_spans.append(m.span())
-        # commands inside the arguments of commands
-        for e in [e for e in found if e.kind in ("command", "heading") and e.family == "latex" and e.instead == "" and masked[e.end - 1 : e.end] == "{"]:
-            for m in re.finditer(r"\\[A-Za-z]+\*?\{([^{}]*)\}", masked[e.end : e.end + 2000].split("\n\n")[0]):
-                a = e.end + m.start()
-                if all(not (x.start <= a < x.end) for x in found):
-                    found += [Event(a, e.end + m.start(1), "latex", "command", ""), Event(e.end + m.end(1), e.end + m.end(), "latex", "command end", "")]
+            (math_spans if name == "formula" else arguments).append(m.span() if name == "formula" else inner)
+        # commands inside the arguments of commands, up to the brace that closes each
+        nested = [m for a, b in arguments for m in _NESTED.finditer(masked, a, b)]
+        if nested:
+            spans, k, reach = sorted((e.start, e.end) for e in found), 0, 0
+            for m in nested:
+                while k < len(spans) and spans[k][0] <= m.start():
+                    reach = max(reach, spans[k][1])
+                    k += 1
+                if reach <= m.start():
+                    found += [Event(m.start(), m.start(1), "latex", "command", ""), Event(m.end(1), m.end(), "latex", "command end", "")]
         if math_spans:
             masked = _masked(masked, math_spans)
     if any(x in masked for x in ("[", "{", "''", "==", "__", "|", "#R", "#r")):

@@ -270,6 +270,12 @@ def test_wiki_markup_without_other_marks(text, want):
     assert (got.strip(), found) == (want, ["wiki"])
 
 
+@pytest.mark.parametrize("gap", ["word " * 600, "one.\n\ntwo "])
+def test_latex_commands_anywhere_in_an_argument(gap):
+    got = markup.clean(f"Here \\textbf{{{gap}\\emph{{inner}} part}} and $\\frac{{1}}{{2}}$ end.")[0]
+    assert "inner part and" in got and "emph" not in got and "textbf" not in got and "{inner" not in got
+
+
 # ---- sentences
 
 EVIDENCE = {"approx": True, "etc": False, "^the": True, "^since": True, "^we": True}
