@@ -76,22 +76,25 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 def _quoted(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Spans of matched quotes and brackets, outermost."""
     stack: list[tuple[int, str]] = []
+    awaited: Counter = Counter()
     out: list[tuple[int, int]] = []
     for m in _QUOTE.finditer(text, a, b):
         c, i = m.group(), m.start()
         if c == '"':
-            closes = any('"' in w for _, w in stack) and not (i + 1 < b and text[i + 1].isalnum() and (i == a or text[i - 1].isspace()))
+            closes = awaited[c] > 0 and not (i + 1 < b and text[i + 1].isalnum() and (i == a or text[i - 1].isspace()))
             want = '"'
         else:
-            closes, want = any(c in w for _, w in stack), _PAIR.get(c, "")
+            closes, want = awaited[c] > 0, _PAIR.get(c, "")
         if closes:
             while stack:
                 start, wanted = stack.pop()
+                awaited.subtract(wanted)
                 if c in wanted:
                     out.append((start, i))
                     break
-        elif want and len(stack) < 50:
+        elif want:
             stack.append((i, want))
+            awaited.update(want)
     out.sort()
     outer: list[tuple[int, int]] = []
     for s in out:

@@ -312,6 +312,11 @@ def test_document_evidence_finds_an_abbreviation():
     assert len(sentences.ends(text, {})) == 3
 
 
+def test_many_unclosed_openers_hide_no_sentence_end():
+    text = "A ( " * 60 + "start. One ended. It is (so) here. Two ended."
+    assert len(sentences.ends(text, {})) == 4
+
+
 def test_sentences_frame(spark):
     df = frame(spark, id_col="doc_id")
     got = sentences.split_sentences(df).groupBy("doc_id").count().collect()
