@@ -6,6 +6,10 @@ import dataclasses
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+
+from quernstone.operators import packing
+
 
 def compose(*layers: dict) -> dict:
     """Layers merged from left to right, the last one wins; nested maps are merged, everything else is replaced."""
@@ -121,6 +125,15 @@ def validated(kind: type, values: dict) -> Any:
         raise ValueError(str(e)) from None
 
 
+def prepacked(experiment: Experiment, name: str, df: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, bool]:
+    """The rows a stage trains on, and whether its trainer packs them: rows packed here must not be packed again. Only a
+    stage with packing is packed here, and only if the first stage asks for it."""
+    stage = getattr(experiment, name)
+    if stage.packing and experiment.cpt is not None and experiment.cpt.prepack:
+        return packing.pack_documents(df, id_col, tokens, stage.seq_len), False
+    return df, stage.packing
+
+
 def stages(experiment: Experiment) -> list[str]:
     """The stages that run, in order: those with a dataset. Reinforcement learning is not implemented."""
     if experiment.sources.rl:

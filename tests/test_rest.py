@@ -213,6 +213,16 @@ def test_template_consumers_are_on_target(spark, tmp_path):
     assert [got[k] for k in range(len(codes))] == list(codes.values())
 
 
+def test_prepack_turns_trainer_packing_off(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "i j")], "id int, text string")
+    for packing, prepack, want in ((True, True, False), (True, False, True), (False, True, False)):
+        made = config.validated(config.Experiment, {"name": "n", "model": "m", "cpt": {"seq_len": 5, "packing": packing, "prepack": prepack}})
+        rows, still = config.prepacked(made, "cpt", docs, "id", F.split("text", " "))
+        assert still is want
+        assert ("ordinal" in rows.columns) is (packing and prepack)
+        assert rows.count() >= 2 and (rows is docs or max(len(r["tokens"]) for r in rows.collect()) < 5)
+
+
 def test_written_tables_and_lineage(spark):
     from quernstone import session
 
