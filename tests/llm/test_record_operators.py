@@ -133,6 +133,32 @@ def test_near_pairs_against_brute_force(spark, seed, threshold, most):
     assert {tuple(r) for r in got} == brute(rows, threshold)
 
 
+def test_crowded_regions_are_divided(spark):
+    """Ten times the rows over the same few words: regions would hold ten times the sets, and compare a hundred times the
+    pairs; divided, they stay small and the comparisons about in proportion."""
+    rng = random.Random(6)
+    compared = []
+    for n in (600, 6000):
+        rows = [(k, "a b", " ".join(rng.sample([f"w{j}" for j in range(90)], 12))) for k in range(n)]
+        sets = neardup.written(neardup.word_sets(near(spark, rows).drop("id", "words"), "sft_id", ("idea", "code")).select("id", "words"), "test")
+        small, whole, _ = neardup.regions(sets, 0.75, 0.2, 64, 1 << 10)
+        sizes = [m.groupBy("key").count().agg(F.max("count"), F.sum(F.expr("count * count / 2"))).first() for m in small + whole]
+        assert all((s[0] or 0) <= 64 for s in sizes[: len(small)]) and max(s[0] or 0 for s in sizes) < 256
+        compared.append(sum(s[1] or 0 for s in sizes))
+    assert len(small) > 1 and compared[1] < 20 * compared[0]
+    rows = rows[:300] + [(6000 + k, "a b", rows[k][2].replace("w", "v", 1)) for k in range(60)]
+    got = neardup.near_pairs(near(spark, rows), most=16, share=0.2).collect()
+    assert {tuple(r) for r in got} == brute(rows, 0.75) and len(got) >= 60
+
+
+def test_sets_that_share_all_they_have(spark):
+    """Small sets alike by the pivots of a divided region alone, and alike sets in a region that no division makes cheaper."""
+    rows = [(k, "common words", f"here stand w{k}") for k in range(40)] + [(50, "common words", "here stand")]
+    rows += [(100 + k, "template", " ".join(f"t{j}" for j in range(30)) + f" u{k}") for k in range(40)]
+    got = neardup.near_pairs(near(spark, rows), most=4, block=3).collect()
+    assert {tuple(r) for r in got} == brute(rows, 0.75) and len(got) == 40 + 40 * 39 // 2
+
+
 def test_near_groups_and_copies(spark):
     words = " ".join(f"w{k}" for k in range(30))
     rows = [(k, "same idea", words) for k in range(60)] + [(100, "same idea", words + " more"), (101, "other thing", "entirely different text"), (102, None, "x")]
