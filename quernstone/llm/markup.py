@@ -8,6 +8,7 @@ each line, smoothed by a Gaussian and split into two clusters by a threshold.
 
 from __future__ import annotations
 
+import bisect
 import html.entities
 import math
 import re
@@ -72,13 +73,23 @@ _CODE = re.compile(
 def code_regions(text: str) -> list[tuple[int, int, int, int, str]]:
     """(start, content start, content end, end, kind) of code from left to right; what opens inside code is content."""
     out, at = [], 0
+    unclosed: set[str] = set()  # what has no close up to the end of the text has none later either
+
+    def closing(pattern: str, flags: int, start: int):
+        if pattern in unclosed:
+            return None
+        close = re.compile(pattern, flags).search(text, start)
+        if not close:
+            unclosed.add(pattern)
+        return close
+
     while m := _CODE.search(text, at):
         if m["fence"]:
             mark = m["f"]
-            close = re.compile(rf"^[ \t]{{0,3}}(?:>[ \t]?)?{re.escape(mark[0])}{{{len(mark)},}}[ \t]*\r?(?:\n|\Z)", re.M).search(text, m.end())
+            close = closing(rf"^[ \t]{{0,3}}(?:>[ \t]?)?{re.escape(mark[0])}{{{len(mark)},}}[ \t]*\r?(?:\n|\Z)", re.M, m.end())
             out.append((m.start(), m.end(), *((close.start(), close.end()) if close else (len(text), len(text))), "fence"))
         elif m["pre"]:
-            close = re.compile(rf"</{m['t']}\s*>", re.I).search(text, m.end())
+            close = closing(rf"</{m['t'].lower()}\s*>", re.I, m.end())
             if not close:
                 at = m.end()
                 continue
@@ -88,14 +99,15 @@ def code_regions(text: str) -> list[tuple[int, int, int, int, str]]:
             end = close + len(m["v"]) + 6 if close >= 0 else len(text)
             out.append((m.start(), m.end(), close if close >= 0 else end, end, "verbatim"))
         elif m["inline"]:
-            close = text.find(m["d"], m.end())
-            if close < 0 or "\n" in text[m.end() : close]:
+            line = text.find("\n", m.end())
+            close = text.find(m["d"], m.end(), line if line >= 0 else len(text))
+            if close < 0:
                 at = m.end()
                 continue
             out.append((m.start(), m.end(), close, close + 1, "verb"))
         else:
             run = m["span"]
-            close = re.compile(rf"(?<!`){run}(?!`)").search(text, m.end())
+            close = closing(rf"(?<!`){run}(?!`)", 0, m.end())
             if not close or re.search(r"\n[ \t\r]*\n", text[m.end() : close.start()]) or close.start() == m.end():
                 at = m.end()
                 continue
@@ -111,10 +123,15 @@ class _Html(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.text, self.events = text, []
         self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
+        last = text.rfind(">") + 1  # no tag opens behind the last close
+        text = text[:last] + text[last:].replace("<", _MASK)
         for a, b in zip(self.lines, [*self.lines[1:], len(text)]):
             self.feed(text[a:b])
         self.close()
 
+    def set_cdata_mode(self, elem, **_):
+        """Scripts and styles that are closed have been masked; an unclosed one hides nothing behind it."""
+
     def _at(self) -> int:
         line, offset = self.getpos()
         return self.lines[line - 1] + offset
@@ -130,7 +147,9 @@ class _Html(HTMLParser):
         if tag == "li":
             self._tag(tag, raw, "item", "\n- ")
         elif re.fullmatch("h[1-6]", tag):
-            self._tag(tag, raw, "heading", "\n\n")
+            self._tag(tag, raw, f"heading {tag[1]}", "\n\n")
+        elif tag == "a":
+            self._tag(tag, raw, "anchor", "")
         else:
             self._tag(tag, raw, "tag", "\n" if tag in _BLOCK_TAGS or tag == "br" else "\t" if tag in ("td", "th") else "")
 
@@ -140,7 +159,8 @@ class _Html(HTMLParser):
         at = self._at()
         end = self.text.find(">", at) + 1
         if end:
-            self._tag(tag, self.text[at:end], "tag", "\n" if tag in _BLOCK_TAGS else "")
+            kind = "heading end" if re.fullmatch("h[1-6]", tag) else "anchor end" if tag == "a" else "tag"
+            self._tag(tag, self.text[at:end], kind, "\n" if tag in _BLOCK_TAGS else "")
 
     def handle_comment(self, data):
         at = self._at()
@@ -164,21 +184,34 @@ class _Html(HTMLParser):
             self.events.append(Event(at, at + len(raw), "html", "reference", unescape(raw).replace("\xa0", " ")))
 
 
-_ARG = r"(?:[^{}]|\{[^{}]*\})*"
+#: arguments are only opened here; where they close, a stack of braces tells
 _LATEX = re.compile(
     r"(?P<env>\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\]|\{[lcr|@{} ]+\})?)"
-    r"|(?P<disp>\$\$(?P<d>[^$]+?)\$\$|\\\[(?P<e>.+?)\\\])"
+    r"|(?P<disp>\$\$(?P<d>[^$]+?)\$\$)|(?P<square>\\\[)"
     r"|(?P<paren>\\\((?P<g>[^\n]+?)\\\))"
     r"|(?P<math>(?<![\\$\w])\$(?P<m>[^\s$](?:[^$\n]*[^\s$\\])?)\$(?![\w$]))"
-    rf"|(?P<head>\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?\{{(?P<h>{_ARG})\}})"
-    rf"|(?P<item>\\item\b[ \t]*(?:\[[^\]\n]*\])?)"
-    rf"|(?P<ref>[~ ]?\\(?:ref|eqref|pageref|cite[a-z]*|label|index|footnote|vspace|hspace|usepackage|documentclass|bibliography)\*?(?:\[[^\]\n]*\])*\{{{_ARG}\}})"
-    rf"|(?P<url>\\href\{{[^{{}}]*\}}\{{(?P<u>{_ARG})\}})"
-    rf"|(?P<cmd>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{(?P<c>{_ARG})\}})"
-    r"|(?P<bare>\\(?P<b>[A-Za-z]{2,})(?![A-Za-z]))",
-    re.S,
+    r"|(?P<head>\\(?P<level>part|chapter|section|subsection|subsubsection|paragraph)\*?\{)"
+    r"|(?P<item>\\item\b[ \t]*(?:\[[^\]\n]*\])?)"
+    r"|(?P<ref>[~ ]?\\(?:ref|eqref|pageref|cite[a-z]*|label|index|footnote|vspace|hspace|usepackage|documentclass|bibliography)\*?(?:\[[^\]\n]*\])*\{)"
+    r"|(?P<url>\\href\{[^{}]*\}\{)"
+    r"|(?P<cmd>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{)"
+    r"|(?P<bare>\\(?P<b>[A-Za-z]{2,})(?![A-Za-z]))"
 )
-_NESTED = re.compile(r"\\[A-Za-z]+\*?\{([^{}]*)\}")
+_LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph")
+_BRACE = re.compile(r"\\[{}\\]|[{}]")
+
+
+def _braces(text: str) -> dict[int, int]:
+    """The closing brace of every opening one."""
+    out, stack = {}, []
+    for m in _BRACE.finditer(text):
+        if m.group() == "{":
+            stack.append(m.start())
+        elif m.group() == "}" and stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
 _REGEX_LIKE = re.compile(r"\\[dwsDWSbB.+*?]|\(\?|[*+?]\)|\\\)[*+?]")
 
 _WIKI = re.compile(
@@ -257,34 +290,44 @@ def events(text: str) -> list[Event]:
         if tags:
             masked = _masked(masked, [(e.start, e.end) for e in tags])
     if "\\" in masked or "$" in masked:
-        math_spans, arguments = [], []
+        math_spans: list[tuple[int, int]] = []
+        braces: dict[int, int] | None = None
+        square = -1  # the close of a displayed formula searched last; none further than the text
         for m in _LATEX.finditer(masked):
-            kind = m.lastgroup if m.lastgroup in ("env", "item", "ref", "bare") else next(k for k in ("env", "disp", "paren", "math", "head", "item", "ref", "url", "cmd", "bare") if m[k])
-            if kind == "bare" and m["b"] not in BARE_COMMANDS:
-                continue
-            if kind == "paren" and _REGEX_LIKE.search(m[0]):
-                continue
-            if kind == "disp" and m["e"] and _REGEX_LIKE.search(m["e"]) and not re.search(r"[=^_]", m["e"]):
-                continue
-            group = {"disp": "d" if m["d"] else "e", "paren": "g", "math": "m", "head": "h", "url": "u", "cmd": "c"}.get(kind)
-            if group is None:
-                instead = {"item": "- ", "bare": "", "ref": "", "env": ""}[kind]
-                found.append(Event(*m.span(), "latex", "item" if kind == "item" else "command", instead))
-                continue
-            inner = m.span(group)
-            name = {"disp": "formula", "paren": "formula", "math": "formula", "head": "heading"}.get(kind, "command")
-            found += [Event(m.start(), inner[0], "latex", name, ""), Event(inner[1], m.end(), "latex", name + " end", "")]
-            (math_spans if name == "formula" else arguments).append(m.span() if name == "formula" else inner)
-        # commands inside the arguments of commands, up to the brace that closes each
-        nested = [m for a, b in arguments for m in _NESTED.finditer(masked, a, b)]
-        if nested:
-            spans, k, reach = sorted((e.start, e.end) for e in found), 0, 0
-            for m in nested:
-                while k < len(spans) and spans[k][0] <= m.start():
-                    reach = max(reach, spans[k][1])
-                    k += 1
-                if reach <= m.start():
-                    found += [Event(m.start(), m.start(1), "latex", "command", ""), Event(m.end(1), m.end(), "latex", "command end", "")]
+            kind = m.lastgroup if m.lastgroup in ("env", "item", "ref", "url", "cmd", "bare", "square") else next(k for k in ("disp", "paren", "math", "head", "bare") if m[k])
+            if kind == "bare":
+                if m["b"] in BARE_COMMANDS:
+                    found.append(Event(*m.span(), "latex", "command", ""))
+            elif kind in ("env", "item"):
+                found.append(Event(*m.span(), "latex", "item" if kind == "item" else "command", "- " if kind == "item" else ""))
+            elif kind in ("disp", "paren", "math", "square"):
+                if math_spans and m.start() < math_spans[-1][1]:
+                    continue
+                if kind == "square":
+                    if square < m.end():
+                        square = masked.find("\\]", m.end() + 1)
+                        square = square if square >= 0 else len(masked)
+                    inner, end = (m.end(), square), square + 2
+                    formula = masked[inner[0] : inner[1]] if square < len(masked) else ""
+                    if not formula or _REGEX_LIKE.search(formula) and not re.search(r"[=^_]", formula):
+                        continue
+                else:
+                    inner, end = m.span({"disp": "d", "paren": "g", "math": "m"}[kind]), m.end()
+                    if kind == "paren" and _REGEX_LIKE.search(m[0]):
+                        continue
+                found += [Event(m.start(), inner[0], "latex", "formula", ""), Event(inner[1], end, "latex", "formula end", "")]
+                math_spans.append((m.start(), end))
+            else:
+                if braces is None:
+                    braces = _braces(masked)
+                close = braces.get(m.end() - 1, -1)
+                if close < 0 or math_spans and m.start() < math_spans[-1][1]:
+                    continue
+                if kind == "ref":
+                    found.append(Event(m.start(), close + 1, "latex", "command", ""))
+                    continue
+                name = f"heading {_LEVELS.index(m['level']) or 1}" if kind == "head" else "command"
+                found += [Event(m.start(), m.end(), "latex", name, ""), Event(close, close + 1, "latex", name.split()[0] + " end", "")]
         if math_spans:
             masked = _masked(masked, math_spans)
     if any(x in masked for x in ("[", "{", "''", "==", "__", "|", "#R", "#r")):
@@ -292,7 +335,7 @@ def events(text: str) -> list[Event]:
         for m in _WIKI.finditer(masked):
             a, b = m.span()
             if m["head"]:
-                found += [Event(a, m.start("ht"), "wiki", "heading", ""), Event(m.end("ht"), b, "wiki", "heading end", "")]
+                found += [Event(a, m.start("ht"), "wiki", f"heading {len(m['h'])}", ""), Event(m.end("ht"), b, "wiki", "heading end", "")]
             elif m["open"]:
                 in_table = True
                 found.append(Event(a, b, "wiki", "table", ""))
@@ -323,17 +366,43 @@ def events(text: str) -> list[Event]:
     return found
 
 
+_STARS = re.compile(r"\*+|\n[ \t\r]*\n")
+
+
+def _unopened(text: str) -> str:
+    """The text without stars that open nothing, as no stars behind them in their paragraph can close them."""
+    runs = list(_STARS.finditer(text))
+    closers: set[int] = set()
+    gone = []
+    for m in reversed(runs):
+        a, b = m.span()
+        if text[a] == "\n":
+            closers.clear()
+            continue
+        n = b - a
+        if n not in closers and b < len(text) and not text[b].isspace() and (a == 0 or not text[a - 1].isalnum()):
+            gone.append((a, b))
+        if a and not text[a - 1].isspace():
+            closers.add(n)
+    return _masked(text, gone[::-1]) if gone else text
+
+
 def _markdown(masked: str, found: list[Event]) -> None:
+    if "*" in masked:
+        masked = _unopened(masked)
     defined = {x.casefold() for x in re.findall(r"^[ \t]{0,3}\[([^\]\n]+)\]:", masked, re.M)} if "]:" in masked else set()
     for m in _MARKDOWN.finditer(masked):
         a, b = m.span()
         pair = None
         if m["setext"]:
             before = masked[masked.rfind("\n", 0, a - 1) + 1 : a - 1].rstrip("\r")
-            earlier = masked[: max(0, masked.rfind("\n", 0, a - 1))].rpartition("\n")[2].strip()
+            up = max(0, masked.rfind("\n", 0, a - 1))
+            earlier = masked[masked.rfind("\n", 0, up) + 1 : up].strip()
             if not before.strip() or earlier or re.match(r"[ \t]*(?:[-*+|>]|\d+[.)])", before) or before.strip()[-1] in "|":
                 continue
-            kind = "heading"
+            kind = f"heading {1 if '=' in m['setext'] else 2}"
+            found.append(Event(masked.rfind("\n", 0, a - 1) + 1, masked.rfind("\n", 0, a - 1) + 1, "markdown", kind, ""))
+            kind = "heading end"
         elif m["delim"]:
             before = masked[masked.rfind("\n", 0, max(0, a - 1)) + 1 : max(0, a - 1)]
             if "|" not in before:
@@ -363,10 +432,11 @@ def _markdown(masked: str, found: list[Event]) -> None:
             found += [Event(a, pair[0], "markdown", kind, ""), Event(pair[1], b, "markdown", kind + " end", "")]
         else:
             instead = {"head": "", "task": "- ", "auto": masked[a + 1 : b - 1]}.get(kind, "")
-            found.append(Event(a, b, "markdown", {"head": "heading", "task": "item"}.get(kind, kind), instead))
+            found.append(Event(a, b, "markdown", {"head": f"heading {m[0].count('#')}", "task": "item"}.get(kind, kind), instead))
+    taken = {e.start for e in found}
     for m in _WIDE_STAR.finditer(masked):
         g = 2 if m[2] is not None else 4
-        if all(e.start != m.start() for e in found):
+        if m.start() not in taken:
             found += [Event(m.start(), m.start(g), "markdown", "emphasis", ""), Event(m.end(g), m.end(), "markdown", "emphasis end", "")]
 
 
@@ -375,27 +445,37 @@ def families(found: list[Event]) -> list[str]:
     return [f for f in FAMILIES if f in have]
 
 
-def smoothed_ratios(text: str, found: list[Event], sigma: float = 1.0) -> tuple[list[int], list[float]]:
-    """Line starts, and per line its text-to-tag ratio smoothed by a Gaussian of ``sigma`` lines."""
+def line_ratios(text: str, found: list[Event]) -> tuple[list[int], list[float], list[tuple[int, int, int]]]:
+    """Line starts; per line its text-to-tag ratio, for which only text outside links counts; and per line the characters
+    of its text, of that in links, and the links."""
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    tags, hidden, k = [0] * len(starts), [0] * len(starts), 0
+    tags, hidden, linked, links, k, anchor = *([0] * len(starts) for _ in range(4)), 0, -1
     for e in found:
         while k + 1 < len(starts) and starts[k + 1] <= e.start:
             k += 1
-        if e.family == "html":
-            tags[k] += 1
+        tags[k] += e.family == "html"
         hidden[k] += e.end - e.start
+        if e.kind == "anchor":
+            anchor = e.end
+        elif e.kind == "anchor end" and anchor >= starts[k]:
+            linked[k] += len(text[anchor : e.start].strip())
+            links[k] += 1
+            anchor = -1
     ends = [*starts[1:], len(text)]
-    ratio = [max(0, len(text[a:b].strip()) - h) / max(1, t) for a, b, h, t in zip(starts, ends, hidden, tags)]
+    shown = [max(0, len(text[a:b].strip()) - h) for a, b, h in zip(starts, ends, hidden)]
+    return starts, [max(0, n - x) / max(1, t) for n, x, t in zip(shown, linked, tags)], list(zip(shown, linked, links))
+
+
+def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
+    """Values smoothed by a Gaussian of ``sigma`` places."""
     radius = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-radius, radius + 1)]
-    n = len(ratio)
-    smooth = []
-    for i in range(n):
-        lo, hi = max(0, i - radius), min(n, i + radius + 1)
+    out = []
+    for i in range(len(values)):
+        lo, hi = max(0, i - radius), min(len(values), i + radius + 1)
         weights = kernel[lo - i + radius : hi - i + radius]
-        smooth.append(sum(w * r for w, r in zip(weights, ratio[lo:hi])) / sum(weights))
-    return starts, smooth
+        out.append(sum(w * v for w, v in zip(weights, values[lo:hi])) / sum(weights))
+    return out
 
 
 def threshold(values: list[float]) -> float:
@@ -414,82 +494,156 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
-_CHROME = re.compile(r"[^\W\d_]{1,20}(?:\s*[|·»>/•,-]?\s*[^\W\d_]{1,20}){0,3}")
+def chrome_regions(text: str, found: list[Event], sigma: float = 1.0) -> list[tuple[int, int, int]]:
+    """(start, end, lines) of the regions that hold no content: runs of lines whose ratio, smoothed and own, lies in
+    the low cluster, whose text is links for the greater part, with two links at least. Code, formulas and headings are content wherever they stand."""
+    starts, ratios, shown = line_ratios(text, found)
+    smooth = smoothed(ratios, sigma)
+    cut = threshold(smooth)
+    ends = [*starts[1:], len(text)]
+    content = [max(s, r) > cut for s, r in zip(smooth, ratios)]
+    k = 0
+    for e in found:
+        while k + 1 < len(starts) and starts[k + 1] <= e.start:
+            k += 1
+        if e.kind.startswith(("heading", "code", "formula")):
+            content[k] = True
+    # a line without text belongs to the region it stands in
+    bare = [not c and (not n or x * 2 > n) for c, (n, x, _) in zip(content, shown)]
+    out, i = [], 0
+    while i < len(starts):
+        j = i
+        while j < len(starts) and bare[j]:
+            j += 1
+        if sum(shown[x][2] for x in range(i, j)) > 1:
+            out.append((starts[i], ends[j - 1], j - i))
+        i = j + 1
+    return out
+
+
+class Cleaned(NamedTuple):
+    text: str
+    families: list[str]
+    dropped: int
+    structure: list[tuple[str, int, int, int]]
 
 
-def clean(text: str) -> tuple[str, list[str], int]:
-    """(clean text, families of markup found, lines dropped as page chrome).
+def clean(text: str) -> Cleaned:
+    """The clean text, the families of markup found, the number of lines dropped as chrome, and the structure kept:
+    (``heading``, ``item``, ``code`` or ``formula``, level, start, end) in the clean text.
 
     Headings stay lines of their own, list items keep a mark, code keeps its lines and indentation, formulas keep their
-    source; delimiters go. A line is dropped when it lies in the low cluster of smoothed ratios, carries at least two HTML
-    tags, no heading, item, code or formula, and holds nothing but a few link words.
+    source; delimiters go, and what they told is in the structure. Regions without content go (:func:`chrome_regions`).
     """
     found = events(text)
     have = families(found)
-    drop: list[tuple[int, int]] = []
-    if "html" in have:
-        starts, smooth = smoothed_ratios(text, found)
-        cut = threshold(smooth)
-        ends = [*starts[1:], len(text)]
-        k = 0
-        for a, b, s in zip(starts, ends, smooth):
-            here = []
-            while k < len(found) and found[k].start < b:
-                here.append(found[k])
-                k += 1
-            tags = [e for e in here if e.family == "html" and e.kind == "tag"]
-            if s <= cut and len(tags) >= 2 and "<a" in text[a:b] and not any(e.kind in ("heading", "item", "code", "formula") for e in here):
-                left = text[a:b]
-                for e in reversed(here):
-                    left = left[: e.start - a] + " " + left[e.end - a :]
-                if _CHROME.fullmatch(left.strip()) and len(tags) >= 4:
-                    drop.append((a, b))
-    out, at, d = [], 0, 0
+    regions = chrome_regions(text, found) if "html" in have else []
+    drop = [(a, b) for a, b, _ in regions]
+    out, at, d, size = [], 0, 0, 0
+    marks: list[list] = []
+    open_: dict[str, list] = {}
+
+    def put(piece: str) -> None:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+
     for e in found:
-        while d < len(drop) and drop[d][1] <= at:
+        while d < len(drop) and drop[d][1] <= e.start:
             d += 1
         if e.start < at or d < len(drop) and drop[d][0] <= e.start < drop[d][1]:
             continue
-        out.append(_kept(text, at, e.start, drop))
-        out.append(e.instead)
+        put(_kept(text, at, e.start, drop))
+        kind, _, rest = e.kind.partition(" ")
+        if rest == "end" or kind == "code" and "code" in open_:
+            if kind in open_:
+                open_.pop(kind)[3] = size
+            put(e.instead)
+        else:
+            put(e.instead)
+            if kind in ("heading", "item", "code", "formula"):
+                begins = size - len(e.instead) + len(e.instead) - len(e.instead.lstrip("\n"))
+                marks.append([kind, int(rest) if rest else 0, begins, -1])
+                if kind != "item":
+                    open_[kind] = marks[-1]
         at = e.end
-    out.append(_kept(text, at, len(text), drop))
-    result = re.sub(r"[ \t]+(?=\r?\n)", "", "".join(out))
-    result = re.sub(r"(?:\r?\n){3,}", "\n\n", result).strip("\r\n")
-    return result, have, len(drop)
+    put(_kept(text, at, len(text), drop))
+    result = "".join(out)
+    for m in marks:
+        if m[3] < 0:  # up to the end of the line, code up to the end of the text
+            line = result.find("\n", m[2])
+            m[3] = line if line >= 0 and m[0] != "code" else len(result)
+    places = [p for m in marks for p in m[2:]]
+    for pattern, instead in ((re.compile(r"(?<![ \t])[ \t]+(?=\r?\n)"), ""), (re.compile(r"(?:\r?\n){3,}"), "\n\n"), (re.compile(r"\A[\r\n]+|[\r\n]+\Z"), "")):
+        result, places = _replaced(pattern, instead, result, places)
+    structure = [(m[0], m[1], *_trimmed(result, a, b)) for m, a, b in zip(marks, places[::2], places[1::2])]
+    return Cleaned(result, have, sum(n for *_, n in regions), [x for x in structure if x[2] < x[3]])
+
+
+def _replaced(pattern: re.Pattern, instead: str, text: str, places: list[int]) -> tuple[str, list[int]]:
+    """The text with every match replaced, and where places in it have moved to."""
+    out, starts, shifts, at, gone = [], [], [], 0, 0
+    for m in pattern.finditer(text):
+        out += (text[at : m.start()], instead)
+        at = m.end()
+        starts.append(m.start())
+        shifts.append((m.end(), gone))
+        gone += m.end() - m.start() - len(instead)
+    if not starts:
+        return text, places
+    moved = []
+    for p in places:
+        k = bisect.bisect_right(starts, p) - 1
+        if k < 0:
+            moved.append(p)
+            continue
+        end, before = shifts[k]
+        kept = min(p, starts[k] + len(instead)) if p < end else p - (end - starts[k] - len(instead))
+        moved.append(kept - before)
+    return "".join((*out, text[at:])), moved
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in "\r\n":
+        a += 1
+    while b > a and text[b - 1].isspace():
+        b -= 1
+    return a, b
 
 
 def _kept(text: str, a: int, b: int, drop: list[tuple[int, int]]) -> str:
-    if not drop:
-        return text[a:b]
     out = []
-    for x, y in drop:
-        if y <= a or x >= b:
-            continue
+    for x, y in drop[bisect.bisect_left(drop, a, key=lambda s: s[1]) :]:
+        if x >= b:
+            break
         out.append(text[a : max(a, x)])
-        a = min(y, b)
+        a = max(a, min(y, b))
     out.append(text[a:b])
     return "".join(out)
 
 
 def clean_markup(df: DataFrame, id_col: str = "cpt_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, ``clean_text``, ``markup``, ``dropped_lines``): every text without its markup, and the families found.
+    """(`id_col`, ``clean_text``, ``markup``, ``dropped_lines``, ``structure``): every text without its markup, the families
+    found, and the headings with their levels, list items, code and formulas of the clean text by their code points.
 
-    A null text stays null with an empty list; empty and blank texts have no markup; unclosed fences run to the end of
+    A null text stays null with empty lists; empty and blank texts have no markup; unclosed fences run to the end of
     the text, unclosed tags are tags, other unclosed marks are text. Repeated rows are cleaned alike, an empty table gives
     an empty table, other columns are ignored. Rows are handled where they lie, without a shuffle.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    names = [id_col, "clean_text", "markup", "dropped_lines"]
+    names = [id_col, "clean_text", "markup", "dropped_lines", "structure"]
+    part = pa.struct([("kind", pa.string()), ("level", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
         for b in batches:
-            got = [clean(t) if t else (t, [], 0) for t in b.column(1).to_pylist()]
-            columns = list(zip(*got)) or [[], [], []]
-            kinds = [pa.string(), pa.list_(pa.string()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
-
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, clean_text string, markup array<string>, dropped_lines int")
+            got = [clean(t) if t else Cleaned(t, [], 0, []) for t in b.column(1).to_pylist()]
+            text, families_, dropped, structure = list(zip(*got)) or [[]] * 4
+            spans = [[dict(zip(("kind", "level", "start", "end"), x)) for x in s] for s in structure]
+            columns = (pa.array(text, pa.string()), pa.array(families_, pa.list_(pa.string())), pa.array(dropped, pa.int32()), pa.array(spans, pa.list_(part)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+
+    schema = f"`{id_col}` {kind}, clean_text string, markup array<string>, dropped_lines int, structure array<struct<kind:string,level:int,start:int,end:int>>"
+    return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def markup_found(df: DataFrame, id_col: str = "cpt_id", text_col: str = "text") -> DataFrame:

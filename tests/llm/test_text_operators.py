@@ -56,7 +56,7 @@ def test_markup_families(text, families):
 
 def test_clean_keeps_structure():
     text = "<h1>Head</h1>\n<ul>\n<li>one &amp; two</li>\n</ul>\n\n```python\nif a < b:\n    **x**\n```\n\nThe $a^2$ and \\textbf{bold}.\n\n<p>Last *word*.</p>"
-    got, families, _ = markup.clean(text)
+    got, families, _, kept = markup.clean(text)
     assert families == ["html", "markdown", "latex"]
     assert got.splitlines()[0] == "Head" and "- one & two" in got and "if a < b:\n    **x**" in got
     assert "a^2 and bold." in got and got.endswith("Last word.") and "<" not in got.replace("a < b", "")
@@ -65,10 +65,45 @@ def test_clean_keeps_structure():
 def test_clean_drops_page_chrome():
     nav = '<div><a href="/a">Home</a> | <a href="/b">Docs</a> | <a href="/c">About</a></div>'
     body = "\n".join(f"<p>Sentence number {k} says something of substance about the topic at hand.</p>" for k in range(12))
-    got, _, dropped = markup.clean(f"{nav}\n{body}\n{nav}")
+    got, _, dropped, _ = markup.clean(f"{nav}\n{body}\n{nav}")
     assert dropped == 2 and "Home" not in got and "number 11" in got
 
 
+NAV = '<ul>\n<li><a href="/a">Home of the project</a></li>\n<li><a href="/b">All documents</a></li>\n</ul>'
+
+
+def test_the_threshold_selects_content_regions(monkeypatch):
+    body = "\n".join(f"<p>Sentence number {k} says <b>something</b> of substance about the topic at hand.</p>" for k in range(12))
+    text = f"{NAV}\n{body}\n<p>See <a href='/c'>this page</a>.</p>\n{body}"
+    got = markup.clean(text)
+    assert "Home of" not in got.text and "See this page." in got.text and got.text.count("number") == 24
+    monkeypatch.setattr(markup, "threshold", lambda values: -1.0)
+    assert "Home of" in markup.clean(text).text
+
+
+def test_structure_of_the_clean_text():
+    text = "# Top\n\n<h3>Part</h3>\n\n- [x] done\n\n```py\nx = 1  \n# no heading\n```\n\n\n\nThe $a^2$ and \\section{Last one}\n== Wiki ==\n\nLine\n----\nend"
+    got = markup.clean(text)
+    kept = [(k, n, got.text[a:b]) for k, n, a, b in got.structure]
+    assert kept == [("heading", 1, "Top"), ("heading", 3, "Part"), ("item", 0, "- done"), ("code", 0, "x = 1\n# no heading"), ("formula", 0, "a^2"), ("heading", 2, "Last one"), ("heading", 2, "Wiki"), ("heading", 2, "Line")]
+
+
+@pytest.mark.parametrize(("text", "want"), [("a <script>\nvar\n<b>bold</b> more &amp; x", "a \nvar\nbold more & x"), ("\\textbf{a \\emph{b \\underline{c \\texttt{d}}}} e", "a b c d e"), ("\\footnote{see \\emph{x}} y", " y")])
+def test_open_and_nested_marks(text, want):
+    got = markup.clean(text)
+    assert got.text.strip() == want.strip().replace("a \nvar", "a\nvar") and not markup.families(markup.events(got.text))
+
+
+@pytest.mark.parametrize("unit", ["**a** b ", "日本**语**文字 ", "{{a|b}}  ", "a_b *c* ", "**a ", "*a* **b ", "<a ", "\\textbf{a \\emph{b}} ", "\\[ a ", "<pre>x ", "Title\n---\n\n", "\\textbf{"])
+def test_markup_takes_linear_time(unit):
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        markup.clean(unit * (n // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 0.5 + 25 * took[0], took
+
+
 def test_markup_frame(spark):
     got = {r["cpt_id"]: r for r in markup.clean_markup(frame(spark)).collect()}
     assert got[1]["clean_text"] is None and got[2]["clean_text"] == "" and got[1]["markup"] == []
@@ -267,7 +302,7 @@ def test_leak_frame(spark):
     ],
 )
 def test_wiki_markup_without_other_marks(text, want):
-    got, found, _ = markup.clean(text)
+    got, found, _, _ = markup.clean(text)
     assert (got.strip(), found) == (want, ["wiki"])
 
 
