@@ -22,9 +22,9 @@ class Crf:
             row[: len(s)] = s
         return x, sizes
 
-    def fit(self, sequences: list[np.ndarray], tags: list[np.ndarray], rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> "Crf":
-        """Maximises the penalised conditional likelihood by AdaGrad over all sequences at once; equal ones count as one
-        with a weight."""
+    def fit(self, sequences: list[np.ndarray], tags: list[np.ndarray], rounds: int = 250, decay: float = 1e-5) -> "Crf":
+        """Maximises the penalised conditional likelihood over all sequences at once, by limited-memory quasi-Newton steps;
+        equal sequences count as one with a weight."""
         weights: dict[tuple, float] = {}
         unique: dict[tuple, tuple] = {}
         for s, t in zip(sequences, tags):
@@ -32,44 +32,45 @@ class Crf:
             weights[key] = weights.get(key, 0.0) + 1.0
             unique[key] = (s, t)
         w = np.array(list(weights.values()))
-        w *= len(w) / w.sum()
+        w /= w.sum()
         sequences, tags = zip(*unique.values())
         x, sizes = self._padded(sequences)
-        n, length, _ = x.shape
+        n, length, f = x.shape
         k = len(self.labels)
+        flat = x.reshape(n * length, f)
         y = np.zeros((n, length), np.int64)
         for row, t in zip(y, tags):
             row[: len(t)] = t
         on = np.arange(length)[None, :] < sizes[:, None]
         gold = np.eye(k)[y] * on[..., None] * w[:, None, None]
-        gold_emit = np.einsum("ntf,ntk->fk", x, gold)
-        gold_move = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+        gold_emit = flat.T @ gold.reshape(-1, k)
+        gold_move = np.einsum("nti,ntj->ij", np.eye(k)[y[:, :-1]] * on[:, 1:, None] * w[:, None, None], np.eye(k)[y[:, 1:]])
         gold_start = gold[:, 0].sum(0)
-        past = [np.full_like(w, 1e-6) for w in (self.emit, self.move, self.start)]
-        for _ in range(rounds):
-            s = x @ self.emit
+
+        def loss(theta):
+            emit, move, start = theta[: f * k].reshape(f, k), theta[f * k : f * k + k * k].reshape(k, k), theta[f * k + k * k :]
+            s = (flat @ emit).reshape(n, length, k)
             alpha, beta = np.zeros((n, length, k)), np.zeros((n, length, k))
-            alpha[:, 0] = s[:, 0] + self.start
+            alpha[:, 0] = s[:, 0] + start
             for t in range(1, length):
-                step = _logsum(alpha[:, t - 1, :, None] + self.move, 1) + s[:, t]
+                step = _logsum(alpha[:, t - 1, :, None] + move, 1) + s[:, t]
                 alpha[:, t] = np.where(on[:, t, None], step, alpha[:, t - 1])
             for t in range(length - 2, -1, -1):
-                step = _logsum(self.move + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+                step = _logsum(move + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
                 beta[:, t] = np.where(on[:, t + 1, None], step, beta[:, t + 1])
-            z = _logsum(alpha[np.arange(n), sizes - 1], 1)
+            z = _logsum(alpha[:, -1], 1)
             p = np.exp(alpha + beta - z[:, None, None]) * on[..., None] * w[:, None, None]
             pair = np.zeros((k, k))
             for t in range(1, length):
-                both = alpha[:, t - 1, :, None] + self.move + (s[:, t] + beta[:, t])[:, None, :] - z[:, None, None]
-                pair += (np.exp(both) * on[:, t, None, None] * w[:, None, None]).sum(0)
-            grads = (
-                (gold_emit - np.einsum("ntf,ntk->fk", x, p)) / n - decay * self.emit,
-                (gold_move - pair) / n - decay * self.move,
-                (gold_start - p[:, 0].sum(0)) / n - decay * self.start,
-            )
-            for weight, g, h in zip((self.emit, self.move, self.start), grads, past):
-                h += g * g
-                weight += rate * g / np.sqrt(h)
+                both = alpha[:, t - 1, :, None] + move + (s[:, t] + beta[:, t])[:, None, :] - z[:, None, None]
+                pair += (np.exp(both) * (on[:, t] * w)[:, None, None]).sum(0)
+            value = w @ z - (gold_emit * emit).sum() - (gold_move * move).sum() - gold_start @ start + decay / 2 * theta @ theta
+            slope = np.concatenate([(flat.T @ p.reshape(-1, k) - gold_emit).ravel(), (pair - gold_move).ravel(), p[:, 0].sum(0) - gold_start])
+            return value, slope + decay * theta
+
+        theta = np.concatenate([self.emit.ravel(), self.move.ravel(), self.start])
+        theta = _descend(loss, theta, rounds)
+        self.emit, self.move, self.start = theta[: f * k].reshape(f, k), theta[f * k : f * k + k * k].reshape(k, k), theta[f * k + k * k :]
         return self
 
     def decode(self, sequences: list[np.ndarray], at_once: int = 512) -> list[np.ndarray]:
@@ -101,3 +102,37 @@ class Crf:
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis=axis, keepdims=True)
     return (np.log(np.exp(a - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+def _descend(loss, theta: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """The minimum of a convex function given with its slope, by limited-memory quasi-Newton steps."""
+    value, slope = loss(theta)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, parts = slope.copy(), []
+        for s, y, r in reversed(past):
+            parts.append(r * (s @ way))
+            way -= parts[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(past, reversed(parts)):
+            way += (a - r * (y @ way)) * s
+        size = 1.0 if past else 1.0 / max(1.0, np.abs(slope).sum())
+        fall = slope @ way
+        for _ in range(20):
+            to = theta - size * way
+            new, new_slope = loss(to)
+            if new <= value - 1e-4 * size * fall:
+                break
+            size /= 2
+        else:
+            break
+        s, y = to - theta, new_slope - slope
+        if s @ y > 1e-12:
+            past = [*past[1 - memory :], (s, y, 1.0 / (s @ y))]
+        done = value - new < 1e-8
+        theta, value, slope = to, new, new_slope
+        if done:
+            break
+    return theta

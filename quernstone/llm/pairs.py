@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
-import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.crf import Crf
 from quernstone.llm.language import scores
+from quernstone.llm.refusals import LEADS, POLITE, TAILS, Wording
+from quernstone.llm.refusals import wording as refusal
 from quernstone.llm.textnorm import INVISIBLE, plain
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -34,32 +37,6 @@ LANGUAGE_NAMES = {
 _NAMES = {n: code for code, names in LANGUAGE_NAMES.items() for n in names.split()}
 _NAME = re.compile("|".join(rf"\b{n}\b" if n[0] < "　" else n for n in sorted(_NAMES, key=len, reverse=True)))
 
-# Wording of refusals, by language; each is a regular expression over lower-cased text.
-_HELP = "help|assist|answer|provide|write|respond|discuss|comply|fulfil|fulfill|complete|give|share|generate|produce|offer|attempt|do (?:this|that|so)|support|show|explain|continue|engage|advise|address"
-REFUSALS = {
-    "en": rf"\bi(?: am|'m)? ?(?:really |truly |afraid i )?(?:can't|cannot|can not|won't|will not|am unable to|'m unable to|unable to|am not able to|'m not able to|not able to|must decline|have to decline|decline|refuse|must refuse)\b(?: to)?(?: be able to)?(?:\W+\w+){{0,2}}?\W+(?:{_HELP})\b"
-    r"|\bi(?: must| have to|'ll have to)? (?:decline|refuse)\b|\bsomething i (?:must|have to) decline|\b(?:my|our) (?:policy|policies|guidelines|rules)\b.*\b(?:not|forbid|prevent|prohibit)|\bas an? (?:\w+ )?(?:language model|ai|assistant)\b.*\b(?:not|cannot|can't|unable)"
-    r"|\bdo(?:n't| not) have (?:enough|sufficient|the) (?:knowledge|information|context|data)|\bi will not attempt|^sorry,? no\b|\bi(?:'d| would) rather not\b|\bnot (?:comfortable|allowed|permitted|able) (?:\w+ing|to)\b.*\b(?:request|question|topic|this|that)\b|\bagainst (?:my|our) (?:policy|policies|guidelines|rules|principles)\b|\bnot (?:be )?possible for me\b|\bimpossible for me\b|\b(?:beyond|outside) (?:what i|my)\b|\bi(?:'d| would) prefer not\b|\bapolog\w+\b.*\b(?:not|cannot|can't|unable)\b|\bthis request\b.*\b(?:declin|refus|cannot|can't)",
-    "de": r"\b(?:kann|darf|werde|möchte) (?:ich|dir|ihnen|dabei|das|dies|diese|leider|hier)\b.*\b(?:nicht|kein|keine|keinen)\b|\bich\b.*\b(?:kann|darf|werde|möchte)\b.*\b(?:nicht|kein|keine|keinen)\b.*\b(?:helfen|beantworten|antworten|schreiben|geben|liefern|erfüllen|weiterhelfen)|\b(?:ablehnen|verweigern)\b|\btut mir leid\b.*\b(?:nicht|kein)|\bals (?:sprachmodell|ki)\b.*\bnicht|\bbin nicht in der lage|nicht genug (?:wissen|informationen)",
-    "fr": r"\bje (?:ne|n')\s?(?:peux|pourrai|puis|suis|veux|vais|souhaite)\b.*\b(?:pas|aider|répondre)\b|\bje (?:dois|préfère|souhaite)\b.{0,30}\b(?:décliner|refuser|m'abstenir)|\b(?:refuse|décline)\b|\bdésolée?\b.*\b(?:ne|pas|refuser|décliner)\b|\ben tant que (?:modèle|ia)\b|pas (?:assez|suffisamment) de connaissances",
-    "es": r"\bno (?:puedo|podré|voy a|debo|me es posible)\b.*\b(?:ayudar|responder|contestar|escribir|dar|proporcionar|hacer|cumplir|ofrecer|atender)|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)|\blo siento\b.*\bno\b|\bcomo modelo de lenguaje\b|\bno tengo (?:suficiente|suficientes|bastante)|\brechaz",
-    "ru": r"\bне (?:могу|смогу|буду|вправе|имею права)\b.*\b(?:помочь|ответить|отвечать|написать|писать|предоставить|выполнить|дать|обсуждать)|\b(?:вынужден|вынуждена|должен|должна)\b.*\bотказ|\bизвините\b.*\bне\b|\bкак языковая модель|\bотказ(?:аться|ываюсь)\b|недостаточно (?:знаний|информации)",
-    "ja": r"お(?:答え|手伝い|応え)(?:は|でき|いた|する).*(?:ません|できない)|(?:答える|回答|対応|提供|お手伝い|説明|書く)(?:すること|こと|は|を)*(?:が|は)?(?:でき(?:ません|ない|かね)|いたしかね|お断り)|お断り|申し訳.*(?:ません|できな|かね)|言語モデル.*(?:ません|ない)|十分な知識",
-    "zh": r"(?:无法|不能|不可以|没办法|不便)(?:\w{0,6})(?:回答|帮|提供|协助|满足|完成|写|讨论|处理)|(?:必须|只能|不得不|恕我)?拒绝|抱歉.*(?:无法|不能|不可)|作为.{0,6}语言模型|没有足够的(?:知识|信息)|恕难",
-    "other": r"عذر|لا (?:أستطيع|يمكنني)|क्षमा करें|नहीं कर सकत|ขออภัย|ไม่สามารถ",
-}
-_REFUSAL = re.compile("|".join(REFUSALS.values()), re.S)
-_SORRY = re.compile(r"\b(?:sorry|apolog\w+|unfortunately|afraid|leider|désolée?|malheureusement|siento|lamentablemente|извините|к сожалению)\b|申し訳|残念|抱歉|很遗憾")
-#: refusals for training, with and without the words that come before; other wording is left to the features
-SEEDS = (
-    "I'm sorry, but I can't help with that request.", "I cannot provide code for this.", "Unfortunately, I must decline to answer this.", "I won't write that example.",
-    "Sorry, no.", "This is not possible for me.", "I would rather not say.", "Debo rechazar esta solicitud.", "お断りします。", "我必须拒绝。", "Je refuse.", "Das lehne ich ab: ich werde das nicht beantworten.", "Вынужден отказаться от ответа.", "No puedo responder.",
-    "As a language model I am not able to answer that.", "My policy does not allow me to discuss this.", "I do not have enough information to respond.", "Es tut mir leid, aber dabei kann ich nicht helfen.",
-    "Diese Anfrage muss ich leider ablehnen.", "Je suis désolé, mais je ne peux pas répondre.", "Lo siento, pero no puedo ayudar con esto.", "Извините, но я не могу помочь.", "申し訳ありませんが、お答えできません。", "抱歉，我无法回答这个问题。",
-)
-TAILS = ("Please ask an expert instead.", "You could read the documentation on your own.", "Try another source for this.", "")
-LEADS = ("Hm.", "Well, let me see.", "That is an interesting topic.", "Thanks for asking.", "Question:", "You asked:", "")
-
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=[^\sa-zа-яà-ÿ])|(?<=[。！？])[」』”’）]*(?=\S)")
 _ENDED = re.compile(r"[.!?…。！？।؟۔][\"'”’“»)\]」』】）*_`]*\Z")
@@ -133,13 +110,16 @@ def _unbalanced(text: str) -> bool:
     return text.count('"') % 2 == 1 or any(text.count(a) > text.count(b) for a, b in ("()", "[]", "«»", "「」")) or ("„" not in text and text.count("“") > text.count("”")) or text.count("„") > text.count("“") + text.count("”") or text.count("`") % 2 == 1
 
 
+#: bounds of the wording score (:class:`Wording`) between its features
+SCORES = (-0.5, 1.0, 2.5)
 FEATURES = (
-    "bias", "prose", "code", "open", "list", "table", "url", "first", "last", "only", "refusal", "sorry", "echoed", "echoes all", "overlaps", "echo context", "foreign", "foreign context", "own language",
-    "ended", "last unended", "last stub", "last unbalanced", "last open", "last item cut", "after refusal wording", "before refusal wording", "empty",
+    "bias", "prose", "code", "open", "list", "table", "url", "first", "last", "only", "echoed", "echoes all", "overlaps", "echo context", "foreign", "foreign context", "own language",
+    "ended", "last unended", "last stub", "last unbalanced", "last open", "last item cut", "empty", "after wording", "before wording", "names", "names of the prompt", "short reply", "bare reply",
+    *(f"wording {k}" for k in range(len(SCORES) + 1)),
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
-#: features of a last clause that has no proper end
-OPEN_ENDS = ("last unended", "last stub", "last unbalanced", "last open", "last item cut")
+_NAME_LIKE = re.compile(r"`|\w_\w|\w\(|[a-z][A-Z]|\d|\w\.\w")
+_NAMED = re.compile(r"[A-Za-z_]\w{3,}")
 
 
 def _strongest(text: str):
@@ -151,21 +131,24 @@ def requested(prompt: str) -> set[str]:
     return {_NAMES[n] for n in _NAME.findall(prompt.casefold())}
 
 
-def featured(parts: list[Clause], prompt: str) -> np.ndarray:
-    """Binary features of every clause of a response to ``prompt``."""
+def featured(parts: list[Clause], prompt: str, wording: Wording) -> np.ndarray:
+    """Binary features of every clause of a response to ``prompt``: clues, none of which decides."""
     x = np.zeros((len(parts), len(FEATURES)))
     if not parts:
         return x
     asked = squeezed(prompt)
     asked_words = set(re.findall(r"\w+", prompt.casefold()))
+    asked_names = {w.casefold() for w in _NAMED.findall(prompt)}
     own, _ = _strongest(prompt)
     allowed = requested(prompt) | {own}
     spoken, weight = _strongest(" ".join(c.text for c in parts if c.kind in ("prose", "list")))
     context = spoken is not None and weight >= 2 and own is not None and spoken not in allowed
-    said = [bool(c.kind in ("prose", "list") and (_REFUSAL.search(c.text.casefold().replace("’", "'")))) for c in parts]
+    scored = [wording.score(c.text) if c.kind in ("prose", "list") else None for c in parts]
     n = len(parts)
+    coded = any(c.kind in ("code", "open", "table") for c in parts)
+    whole = ["short reply"] * (n <= 3) + ["bare reply"] * (n <= 3 and not coded)
     for k, c in enumerate(parts):
-        on = ["bias", c.kind]
+        on = ["bias", c.kind, *whole]
         if k == 0:
             on.append("first")
         if k == n - 1:
@@ -175,15 +158,16 @@ def featured(parts: list[Clause], prompt: str) -> np.ndarray:
         if not c.weight:
             on.append("empty")
         low = c.text.casefold()
-        if said[k]:
-            on.append("refusal")
-        if c.kind in ("prose", "list"):
-            if _SORRY.search(low):
-                on.append("sorry")
-        if k and said[k - 1]:
-            on.append("after refusal wording")
-        if k + 1 < n and said[k + 1]:
-            on.append("before refusal wording")
+        if scored[k] is not None:
+            on.append(f"wording {bisect.bisect_left(SCORES, scored[k])}")
+            if _NAME_LIKE.search(c.text):
+                on.append("names")
+            if not asked_names.isdisjoint(_NAMED.findall(low)):
+                on.append("names of the prompt")
+        if k and (scored[k - 1] or 0) > SCORES[1]:
+            on.append("after wording")
+        if k + 1 < n and (scored[k + 1] or 0) > SCORES[1]:
+            on.append("before wording")
         bare = squeezed(c.text)
         if len(bare) >= 6 and len(asked) >= 6:
             if bare in asked:
@@ -225,59 +209,105 @@ def featured(parts: list[Clause], prompt: str) -> np.ndarray:
     return x
 
 
-def training_set(rows: list[tuple[str, str]], seed: int = 7, longest: int = 12) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Clause sequences with known tags, made from pairs by planting defects in responses that show none."""
+Planted = list[tuple[list[Clause], str, list[int]]]
+
+
+def planted(rows: list[tuple[str, str]], seed: int = 7, longest: int = 12) -> Planted:
+    """(clauses, prompt, tags): pairs as they are, all clauses answers, and pairs with planted defects, whose tags are
+    known. Responses of more than ``longest`` clauses are not used for training."""
     rng = random.Random(seed)
-    xs, ys = [], []
+    out: Planted = []
 
     def add(parts, prompt, tags):
         if parts and len(parts) == len(tags) and len(parts) <= longest:
-            xs.append(featured(parts, prompt))
-            ys.append(np.array(tags))
-
-    sound = []
-    for prompt, response in rows:
-        parts = clauses(response or "")
-        if prompt and parts and prompt.strip():
-            x = featured(parts, prompt)
-            bad = ("refusal", "echoed", "echoes all", "foreign", *OPEN_ENDS)
-            if not x[:, [_AT[f] for f in bad]].any():
-                sound.append((prompt, response, parts))
+            out.append((parts, prompt, tags))
+
+    sound = [(p, r, parts) for p, r in rows if p and p.strip() and (parts := clauses(r or ""))]
     spoken = [_strongest(p)[0] for p, _, _ in sound]
     for k, (prompt, response, parts) in enumerate(sound):
-        add(parts, prompt, [ANSWER] * len(parts))
-        kind = k % 4
-        lead = rng.choice(LEADS) if rng.random() < 0.3 else ""
-        ahead = clauses(lead)
-        if kind == 0:
-            for first, last in ((False, False), (False, True), (True, False), (True, True)):
-                ahead = clauses(rng.choice(LEADS)) if first else []
-                said = clauses(rng.choice(SEEDS)) + (clauses(rng.choice(SEEDS + TAILS)) if last else [])
-                add(ahead + said, prompt, [ANSWER] * len(ahead) + [REFUSAL] * len(said))
-        elif kind == 1:
-            copy = clauses(rng.choice((prompt, prompt.upper(), f"“{prompt.strip()}”", f"```\n{prompt}\n```", f"{prompt}\n\n{prompt}")))
-            add(ahead + copy, prompt, [ANSWER] * len(ahead) + [ECHO] * len(copy))
-        elif kind == 2:
-            cut = response.rstrip()[: rng.randrange(len(response) // 3, max(len(response) // 3 + 1, len(response.rstrip()) - 2))]
-            short = clauses(cut)
-            if short:
-                x = featured(short, prompt)
-                if x[-1, [_AT[f] for f in ("last unended", "last open", "last item cut")]].any():
-                    add(short, prompt, [ANSWER] * (len(short) - 1) + [UNFINISHED])
-        else:
+        bare = len(parts) <= 3 and all(c.kind in ("prose", "list") for c in parts)
+        if not bare:  # most refusals among the pairs as they are would stand as answers; short answers are made of long ones
+            add(parts, prompt, [ANSWER] * len(parts))
+            told = [c for c in parts if c.kind == "prose" and _ENDED.search(c.text) and not _STUB.search(c.text)]
+            if told and rng.random() < 0.3:
+                few = told[: rng.randrange(1, 4)]
+                add(few, prompt, [ANSWER] * len(few))
+            if rng.random() < 0.15:
+                polite = clauses(rng.choice(POLITE))
+                add(polite + parts, prompt, [ANSWER] * (len(polite) + len(parts)))
+        topic = max(_NAMED.findall(prompt) or ["this"], key=len) if rng.random() < 0.7 else "3.14"
+        for _ in range(2):
+            ahead = clauses(rng.choice(LEADS)) if rng.random() < 0.3 else []
+            said = clauses(refusal(rng, topic) + (" " + rng.choice((refusal(rng, topic), rng.choice(TAILS).replace("{t}", topic))) if rng.random() < 0.4 else ""))
+            add(ahead + said, prompt, [ANSWER] * len(ahead) + [REFUSAL] * len(said))
+        ahead = clauses(rng.choice(LEADS)) if rng.random() < 0.3 else []
+        text = prompt.strip()
+        copy = clauses(rng.choice((prompt, prompt.upper(), f"“{text}”", f"```\n{prompt}\n```", f"{prompt}\n\n{prompt}", f"> {text}", text.rstrip("?.!"), f"Q: {text}", text[: len(text) // 2 + 20])))
+        add(ahead + copy, prompt, [ANSWER] * len(ahead) + [ECHO] * len(copy))
+        if bare:
+            continue
+        end = len(response.rstrip())
+        cuts = [rng.randrange(len(response) // 3, max(len(response) // 3 + 1, end - 2)) for _ in range(2)]
+        fence = response.find("```")
+        cuts += [response.find("\n", fence) + 1] * (fence >= 0 and rng.random() < 0.3)
+        for cut in cuts:
+            short = clauses(response[:cut])
+            # a cut between two sentences or items cannot be told from an answer
+            if short and (short[-1].kind == "open" or short[-1].kind == "prose" and (not _ENDED.search(short[-1].text) or _STUB.search(short[-1].text)) or short[-1].kind in ("list", "table") and _unbalanced(short[-1].text)):
+                add(short, prompt, [ANSWER] * (len(short) - 1) + [UNFINISHED])
+        for _ in range(2 * (not requested(prompt))):
             other = rng.randrange(len(sound))
             for _ in range(20):
                 if spoken[other] != spoken[k]:
                     break
                 other = rng.randrange(len(sound))
-            if spoken[other] != spoken[k] and not requested(prompt):
+            if spoken[other] != spoken[k]:
                 add(sound[other][2], prompt, [FOREIGN if c.kind in ("prose", "list") else ANSWER for c in sound[other][2]])
-    return xs, ys
-
-
-def defect(parts: list[Clause], tags: np.ndarray, x: np.ndarray) -> str | None:
-    """The defect that clause coverage tells, or None. A check follows each: a refusal needs a clause with a refusal's
-    wording, another language that of the whole prose, a truncated pair a last clause without an end."""
+    return out
+
+
+class Tagger(NamedTuple):
+    """Tags the clauses of responses."""
+
+    wording: Wording
+    crf: Crf
+
+    def tag(self, parts: list[list[Clause]], prompts: list[str]) -> list[np.ndarray]:
+        return self.crf.decode([featured(c, p, self.wording) for c, p in zip(parts, prompts)])
+
+
+def _spoken(made: Planted) -> tuple[list[str], list[bool]]:
+    texts = {(c.text, t == REFUSAL) for parts, _, tags in made for c, t in zip(parts, tags) if c.kind in ("prose", "list")}
+    texts = sorted(texts)
+    return [t for t, _ in texts], [r for _, r in texts]
+
+
+def train(rows: list[tuple[str, str]], folds: int = 2) -> Tagger:
+    """A tagger from pairs in which defects are planted. The wording scores that the random field is trained on come from a
+    model that has not seen the fold they stand in; pairs that a first tagger finds defective are not answers, and are left
+    out of the training of the second, which is returned."""
+    tagger = None
+    for rounds in (80, 250):
+        if tagger:
+            parts = [clauses(r or "") for _, r in rows]
+            tags = tagger.tag(parts, [p or "" for p, _ in rows])
+            rows = [row for row, c, t in zip(rows, parts, tags) if defect(c, t) is None]
+        made = planted(rows)
+        if not made:
+            return tagger or Tagger(Wording(), Crf(LABELS, len(FEATURES)))
+        xs: list[np.ndarray] = []
+        ys: list[np.ndarray] = []
+        for fold in range(folds):
+            own = made[fold::folds]
+            wording = Wording().fit(*_spoken([m for k, m in enumerate(made) if k % folds != fold] or own))
+            xs += [featured(parts, prompt, wording) for parts, prompt, _ in own]
+            ys += [np.array(tags) for _, _, tags in own]
+        tagger = Tagger(Wording().fit(*_spoken(made)), Crf(LABELS, len(FEATURES)).fit(xs, ys, rounds))
+    return tagger
+
+
+def defect(parts: list[Clause], tags: np.ndarray) -> str | None:
+    """The defect that the coverage of the clauses' tags tells, or None."""
     if not any(c.weight for c in parts):
         return "empty"
     cover = np.zeros(len(LABELS))
@@ -287,15 +317,13 @@ def defect(parts: list[Clause], tags: np.ndarray, x: np.ndarray) -> str | None:
         if c.kind in ("prose", "list"):
             spoken[t] += c.weight
     total = cover.sum()
-    if cover[ECHO] > 0 and (cover[ECHO] >= 0.6 * total and cover[ANSWER] <= 0.3 * total):
+    if cover[ECHO] >= 0.6 * total and cover[ANSWER] <= 0.3 * total:
         return "copied"
-    if x[:, _AT["refusal"]].any() and cover[REFUSAL] > 0 and cover[REFUSAL] >= 0.35 * total:
+    if cover[REFUSAL] >= 0.35 * total:
         return "refusal"
-    if x[:, _AT["foreign context"]].any() and spoken[FOREIGN] > 0 and spoken[FOREIGN] >= 0.5 * spoken.sum():
+    if spoken[FOREIGN] > 0 and spoken[FOREIGN] >= 0.5 * spoken.sum():
         return "other_language"
-    if tags[-1] == UNFINISHED and x[-1, [_AT[f] for f in OPEN_ENDS]].any():
-        return "truncated"
-    return None
+    return "truncated" if tags[-1] == UNFINISHED else None
 
 
 def contents(column: str, role: str | None = None) -> Column:
@@ -305,41 +333,39 @@ def contents(column: str, role: str | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda m: m["content"]), "\n")
 
 
-def fit_tagger(df: DataFrame, id_col: str = "sft_id", sample: int = 800) -> Crf:
-    """The clause tagger, trained on at most ``sample`` pairs (those with the lowest hash of their id); tags are known by
-    construction (:func:`training_set`). A bound on the hash first leaves about four times as many, over all partitions."""
+def fit_tagger(df: DataFrame, id_col: str = "sft_id", sample: int = 800, longest: int = 4000) -> Tagger:
+    """The clause tagger, trained (:func:`train`) on at most ``sample`` pairs with responses below ``longest`` characters,
+    those with the lowest hash of their id. A bound on the hash first leaves about four times as many, over all partitions."""
     share = min(1.0, 4.0 * sample / max(1, df.count()))
     rows = (
         df.select(contents("prompt", "user").alias("p"), contents("completion").alias("c"), F.xxhash64(id_col).alias("h"))
-        .where((F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))) & (F.length("c") < 4000))
+        .where((F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))) & (F.length("c") < longest))
         .orderBy("h", "p", "c")
         .limit(sample)
         .collect()
     )
-    xs, ys = training_set([(r["p"], r["c"]) for r in rows])
-    crf = Crf(LABELS, len(FEATURES))
-    return crf.fit(xs, ys) if xs else crf
+    return train([(r["p"], r["c"]) for r in rows])
 
 
-def pair_defects(df: DataFrame, id_col: str = "sft_id", sample: int = 800, tagger: Crf | None = None) -> DataFrame:
+def pair_defects(df: DataFrame, id_col: str = "sft_id", sample: int = 800, tagger: Tagger | None = None) -> DataFrame:
     """(`id_col`, ``defect``, ``clauses``, ``tags``): every pair with its defect, null for a sound one.
 
     ``empty``: a null, empty or missing completion, or one without a letter or digit; ``truncated``, ``refusal``,
     ``copied`` and ``other_language`` by the coverage of its clauses' tags. A pair without a user prompt can be
     empty, truncated or a refusal only. Very long responses are tagged whole; repeated rows are judged alike; an empty
-    table gives an empty table; other columns are ignored. The trained tagger is a few hundred numbers and is broadcast.
+    table gives an empty table; other columns are ignored. The trained tagger, a weight for each word and pair of
+    words of the sample, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(tagger or fit_tagger(df, id_col, sample))
     kind = df.schema[id_col].dataType.simpleString()
     names = [id_col, "defect", "clauses", "tags"]
 
     def judge(batches):
-        crf = shared.value
+        tagger = shared.value
         for b in batches:
             parts = [clauses(t or "") for t in b.column(2).to_pylist()]
-            x = [featured(c, p or "") for c, p in zip(parts, b.column(1).to_pylist())]
-            tags = crf.decode(x)
-            found = [defect(c, t, f) for c, t, f in zip(parts, tags, x)]
+            tags = tagger.tag(parts, [p or "" for p in b.column(1).to_pylist()])
+            found = [defect(c, t) for c, t in zip(parts, tags)]
             named = [[LABELS[k] for k in t.tolist()] for t in tags]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(found, pa.string()), pa.array([len(c) for c in parts], pa.int32()), pa.array(named, pa.list_(pa.string()))], names

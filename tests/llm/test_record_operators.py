@@ -235,3 +235,54 @@ def test_pair_defects(spark):
     assert len(wrong) <= 0.06 * len(want), wrong
     assert sum(got[k] is not None for k in range(400)) <= 4
     assert pairs.pair_defects(df.limit(0)).collect() == []
+
+
+#: refusals in wording that stands neither in the training material nor is put together from its frames
+UNSEEN = (
+    "I'll pass on this one.", "Das mache ich nicht.", "Prefiero no contestar.", "这个问题我不想谈。", "That's not something I'm willing to do.", "I have no intention of answering that.", "Not going to happen, sorry.", "I'd like to skip this question.", "Please don't ask me that; I won't tell you.",
+    "My instructions prevent me from replying to this.", "Darauf gebe ich Ihnen keine Antwort.", "Hierzu möchte ich mich nicht äußern.", "Bei dieser Aufgabe helfe ich nicht.", "Je n'ai pas l'intention de répondre.", "Je ne traiterai pas cette demande.", "Cette question restera sans réponse de ma part.",
+    "No pienso contestar a esa pregunta.", "Esa pregunta no la voy a responder.", "No me siento cómodo ayudando con esto.", "Не собираюсь отвечать на такой вопрос.", "Я вам с этим не помогу.", "Пожалуй, я откажусь.", "その質問には答えません。", "それについてはお話しできません。", "この依頼は引き受けられません。", "我不方便回答这样的问题。", "这样的代码我不会写。", "对此我不能提供任何帮助。",
+)
+STATED = ("You cannot write to a frozen dataclass; make a copy and change that.", "Call reader{0} twice. It cannot answer before the lock is free.", "Rufe leser{0} zweimal auf. Die Datei kann nicht geändert werden.", "Sorry for the wait. Use reader{0} with the lock and close it at the end.")
+
+
+def material(n=300):
+    rng = random.Random(5)
+    rows = []
+    for k in range(n):
+        p, c = PROMPTS[k % 4]
+        sentences = c.split("\n\n")[0].split(". ")
+        rng.shuffle(sentences)
+        rows.append((p.format(k), (". ".join(x.rstrip(".") for x in sentences) + "." + ("\n\n```python\nx = f(1)\n```" if rng.random() < 0.5 else "")).format(k)))
+    return rows
+
+
+def test_the_tagger_decides_what_no_list_knows():
+    rows = material()
+    tagger = pairs.train(rows)
+    seen = " ".join(str(x) for x in pairs.POLITE + tuple(y for f in pairs_frames() for y in f))
+    assert not any(u in seen for u in UNSEEN)
+
+    def judge(prompt, text):
+        parts = pairs.clauses(text)
+        return pairs.defect(parts, tagger.tag([parts], [prompt])[0])
+
+    found = [judge(rows[k][0], u) for k, u in enumerate(UNSEEN)]
+    assert found.count("refusal") >= 0.9 * len(UNSEEN), [u for u, f in zip(UNSEEN, found) if f != "refusal"]
+    assert [judge(rows[k][0], x.format(k)) for k, x in enumerate(STATED)].count("refusal") <= 1
+    # without the wording scores, short answers and refusals are no longer told apart
+    blind = pairs.Tagger(pairs.Wording(), tagger.crf)
+    texts = [(u, True) for u in UNSEEN] + [(x.format(k).split(". ")[0] + ".", False) for k, x in enumerate(STATED * 7)]
+
+    def wrong(t):
+        parts = [pairs.clauses(x) for x, _ in texts]
+        tags = t.tag(parts, [p for p, _ in rows[: len(texts)]])
+        return sum((pairs.defect(c, g) == "refusal") != r for c, g, (_, r) in zip(parts, tags, texts))
+
+    assert wrong(tagger) < wrong(blind), (wrong(tagger), wrong(blind))
+
+
+def pairs_frames():
+    from quernstone.llm.refusals import FRAMES
+
+    return [part for language in FRAMES.values() for part in language]
