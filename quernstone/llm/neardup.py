@@ -95,7 +95,7 @@ def _need(size: int, threshold: float) -> int:
 _MEMBER = ("key", "id", "size", "at", "marks", "last", "depth")
 
 
-def similar_sets(sets: DataFrame, threshold: float, share: float = 2e-4, most: int = 256, cells: int = 1 << 20) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, share: float = 2e-4, most: int = 256, cells: int = 1 << 18) -> DataFrame:
     """(``a``, ``b``, ``similarity``) of all pairs of different sets (``id``, ``words``) that are similar enough, ``a`` < ``b``."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie above 0 and at most at 1")
