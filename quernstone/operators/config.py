@@ -61,6 +61,39 @@ def resolve(config: dict) -> dict:
     return made(config)
 
 
+def dumped(config: Any) -> str:
+    """A configuration as JSON text with sorted keys, as it is kept beside a run; dataclasses are written as maps."""
+    import json
+
+    plain = dataclasses.asdict(config) if dataclasses.is_dataclass(config) else config
+    return json.dumps(plain, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+def read_layers(folder: str, name: str, seen: tuple[str, ...] = ()) -> dict:
+    """The configuration ``name`` of a folder, composed over those its ``defaults`` list names, in their order; ``_self_`` in
+    the list is the place of its own values, by default the last. Files are JSON, or YAML where a reader is installed."""
+    import json
+    import os
+
+    if name in seen:
+        raise ValueError(f"defaults go in a circle: {' > '.join((*seen, name))}")
+    path = next((f"{folder}/{name}.{x}" for x in ("json", "yaml", "yml") if os.path.isfile(f"{folder}/{name}.{x}")), None)
+    if path is None:
+        raise ValueError(f"no configuration {name}")
+    with open(path, encoding="utf-8") as f:
+        if path.endswith("json"):
+            own = json.load(f)
+        else:
+            try:
+                import yaml
+            except ImportError:
+                raise ValueError("no reader for YAML is installed") from None
+            own = yaml.safe_load(f) or {}
+    order = own.pop("defaults", [])
+    layers = [own if x == "_self_" else read_layers(folder, x, (*seen, name)) for x in order]
+    return compose(*layers, *([] if "_self_" in order else [own]))
+
+
 def datasets(refs: str | list[str] | None) -> list[str]:
     """A dataset reference as a list of paths."""
     return [] if refs is None else [refs] if isinstance(refs, str) else list(refs)

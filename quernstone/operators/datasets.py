@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import response, strip, with_suffix
+from quernstone.session import written
 
 MESSAGES = "array<struct<role:string,content:string>>"
 SFT_SCHEMA = f"prompt {MESSAGES}, completion {MESSAGES}, filename string, python_version string, idea string, code string, trace string, expected_output string"
@@ -55,10 +56,11 @@ def exact_split(df: DataFrame, id_col: str, ratio: float = 0.1, seed: int = 42)
     """``df`` with ``split``: exactly ``ceil(ratio * n)`` rows are ``eval``, those first by md5 of seed and id.
 
     The cut is found without one global sort: hashes are counted by their first four digits (65,536 groups at most), the
-    group that holds the cut is found on the driver, and only its rows are ranked.
+    group that holds the cut is found on the driver, and only its rows are ranked. Rows that share an id, and those without
+    one, have one hash and come into the same split, so repeated ids at the cut make ``eval`` longer by their number.
     """
     h = F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
-    hashed = df.withColumn("__h", h).withColumn("__g", F.substring("__h", 1, 4))
+    hashed = df.withColumn("__h", F.coalesce(h, F.md5(F.lit(str(seed))))).withColumn("__g", F.substring("__h", 1, 4))
     counts = sorted((r["__g"], r["n"]) for r in hashed.groupBy("__g").agg(F.count("*").alias("n")).collect())
     wanted, group = math.ceil(ratio * sum(n for _, n in counts)), None
     for g, n in counts:
@@ -92,6 +94,32 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def ranked(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with the place of every row in the whole order, from 1. Rows are range-partitioned and ranked per partition,
+    on top of the counts of the partitions before; no task sees all rows."""
+    spark = df.sparkSession
+    parted = written(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id()), "ranked")
+    counts = parted.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__p", before.alias("__b"))  # one row per partition
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) + F.col("__b")
+    return parted.join(F.broadcast(offsets), "__p").withColumn(name, place.cast("bigint")).drop("__p", "__b")
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """``df`` with its ``place`` in an order that depends on seed and id only, ties by id."""
+    h = F.md5(F.concat(F.lit(str(seed)), F.lit("/"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return ranked(df.withColumn("__h", h), ["__h", id_col]).drop("__h")
+
+
+def text_column(df: DataFrame, name: str = "text") -> Column:
+    """What a trainer reads: the column ``text`` where there is one, else all message contents joined by line feeds."""
+    if name in df.columns:
+        return F.col(name)
+    messages_ = F.concat(*(F.coalesce(F.col(c), F.array()) for c in ("prompt", "completion")))
+    return F.array_join(F.transform(messages_, lambda m: m["content"]), "\n")
+
+
 def unknown_columns(df: DataFrame, known: set[str]) -> list[str]:
     """Columns beyond the known ones, in order."""
     return [c for c in df.columns if c not in known]

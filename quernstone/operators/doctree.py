@@ -156,8 +156,8 @@ def clamp(start: Column, end: Column, at: Column, entry: Column, longest: int =
 
 
 def changed_sections(docs: DataFrame, version: str, name_col: str, text_col: str, longest: int = 500, half: int = 100) -> DataFrame:
-    """(``document``, ``section_id``, ``is_entry``, ``start``, ``end``, ``text``, ``blank``): the sections and entries with a
-    change note that names the version, each once, by its first note. Notes outside any section are left out."""
+    """(``document``, ``section_id``, ``note_id``, ``is_entry``, ``start``, ``end``, ``text``, ``blank``): the sections and
+    entries with a change note that names the version, each once, by its first note, whose node is ``note_id``. Notes outside any section are left out."""
     nodes = doctree(docs, name_col, text_col)
     entry, section = enclosing(F.col("ancestors"))
     notes = (
@@ -165,7 +165,7 @@ def changed_sections(docs: DataFrame, version: str, name_col: str, text_col: str
         .select("document", "node_id", "line", entry.alias("is_entry"), section.alias("section_id"))
         .where("section_id is not null")
         .groupBy("document", "section_id")
-        .agg(F.min_by(F.struct("is_entry", "line"), "node_id").alias("note"))
+        .agg(F.min_by(F.struct("is_entry", "line", F.col("node_id").alias("note_id")), "node_id").alias("note"))
         .select("document", "section_id", "note.*")
     )
     ranges = line_ranges(nodes).withColumnRenamed("node_id", "section_id")
@@ -174,13 +174,13 @@ def changed_sections(docs: DataFrame, version: str, name_col: str, text_col: str
     start, end = clamp(F.col("start"), F.col("end"), F.col("line") - 1, F.col("is_entry"), longest, half)
     text = F.array_join(F.slice("lines", F.col("start") + 1, F.greatest(F.lit(0), F.col("end") - F.col("start"))), "\n")
     return (
-        found.select("document", "section_id", "is_entry", "lines", start.alias("start"), end.alias("end"))
+        found.select("document", "section_id", "note_id", "is_entry", "lines", start.alias("start"), end.alias("end"))
         .withColumn("text", text)
-        .select("document", "section_id", "is_entry", "start", "end", "text", (strip("text") == "").alias("blank"))
+        .select("document", "section_id", "note_id", "is_entry", "start", "end", "text", (strip("text") == "").alias("blank"))
     )
 
 
 def change_documents(sections: DataFrame) -> DataFrame:
-    """(``document``, ``text``): the sections of a document in order, parted by rules."""
-    ordered = F.array_sort(F.collect_list(F.struct("section_id", "text")))
+    """(``document``, ``text``): the sections of a document in the order of their first notes, parted by rules."""
+    ordered = F.array_sort(F.collect_list(F.struct("note_id", "section_id", "text")))
     return sections.groupBy("document").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n----\n\n").alias("text"))

@@ -116,10 +116,11 @@ def ideas_of(docs: DataFrame, make_model: Callable[[], Model], name_col: str = "
 _MADE = "filename string, idea_idx int, idea string, code string, trace string, expected_output string, prompt string, explanation string, attempts int, status string, reason string"
 
 
-def rows_of(ideas: DataFrame, make_model: Callable[[], Model], make_runner: Callable[[], Runner]) -> DataFrame:
+def rows_of(ideas: DataFrame, make_model: Callable[[], Model], make_runner: Callable[[], Runner], docs: DataFrame | None = None, name_col: str = "filename", text_col: str = "text") -> DataFrame:
     """One row per idea with ``status`` ``ok``, ``rejected`` (the retries or the judge) or ``failed`` (any other error).
 
-    Model and runner are made once per task. Results depend on the inputs only, so a repeated task gives the same rows;
+    With ``docs`` every prompt carries the whole document that the idea comes from, joined by name; an idea whose document
+    is not there goes without. Model and runner are made once per task. Results depend on the inputs only, so a repeated task gives the same rows;
     write them before two consumers read them, or the model is asked twice.
     """
 
@@ -127,13 +128,14 @@ def rows_of(ideas: DataFrame, make_model: Callable[[], Model], make_runner: Call
         model, runner = make_model(), make_runner()
         for b in batches:
             rows = []
-            for name, k, idea in zip(*(c.to_pylist() for c in b.columns)):
+            for name, k, idea, text in zip(*(c.to_pylist() for c in b.columns)):
+                about = f"--- {name} ---\n{text}\n\n{idea}" if text else f"{name}: {idea}"
                 base, status, reason = {}, "ok", None
                 try:
-                    block, attempts = verified_code(model, runner, [*_system("Write the example."), {"role": "user", "content": f"{name}: {idea}"}])
-                    talk = ask(model, [*_system("Write the exchange."), {"role": "user", "content": json.dumps(block)}], CONVERSATION)
+                    block, attempts = verified_code(model, runner, [*_system("Write the example."), {"role": "user", "content": about}])
+                    talk = ask(model, [*_system("Write the exchange."), {"role": "user", "content": f"{about}\n\n{json.dumps(block)}"}], CONVERSATION)
                     base = {**block, **talk, "attempts": attempts}
-                    verdict = ask(model, [*_system("Judge the exchange."), {"role": "user", "content": json.dumps({**block, **talk})}], VERDICT)
+                    verdict = ask(model, [*_system("Judge the exchange."), {"role": "user", "content": f"{about}\n\n{json.dumps({**block, **talk})}"}], VERDICT)
                     if not verdict["passed"]:
                         status, reason = "rejected", verdict["judgement"]
                 except ValueError as e:
@@ -144,7 +146,11 @@ def rows_of(ideas: DataFrame, make_model: Callable[[], Model], make_runner: Call
             schema = pa.schema([(x.split()[0], pa.int32() if x.endswith(" int") else pa.string()) for x in _MADE.split(", ")])
             yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema)
 
-    return ideas.select("filename", "idea_idx", "idea").mapInArrow(run, _MADE)
+    wanted = ideas.select("filename", "idea_idx", "idea")
+    if docs is None:
+        return wanted.withColumn("text", F.lit(None).cast("string")).mapInArrow(run, _MADE)
+    texts = docs.groupBy(F.col(name_col).alias("filename")).agg(F.min(text_col).alias("text"))
+    return wanted.join(texts, "filename", "left").select("filename", "idea_idx", "idea", "text").mapInArrow(run, _MADE)
 
 
 def accepted(made: DataFrame, python_version: str) -> DataFrame:

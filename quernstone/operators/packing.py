@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,28 +137,85 @@ def place_best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def best_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, split: bool = False, shard_items: int = 100_000) -> DataFrame:
+def plan_best_fit(counts: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each size the segments of its ranks: (first rank, first bin, items per bin), as :func:`place_best_fit` places them.
+
+    The fullest bin with room stays the fullest while it takes more of the same size, so bins fill one after another. Bins
+    of equal room are kept as runs of neighbours; a size moves whole runs and splits at most one, so the work depends on the
+    number of sizes, not of items.
+    """
+    runs: dict[int, list[tuple[int, int]]] = {}  # room: (first bin, bins)
+    plan, opened = {}, 0
+    for size in sorted(counts, reverse=True):
+        left, rank, segments, moved = counts[size], 0, [], []
+
+        def fill(room: int, start: int, n: int) -> int:
+            """Puts items into ``n`` bins; gives the number of bins touched."""
+            nonlocal left, rank
+            each = room // size if size else left
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            segments.append((rank, start, each))
+            moved.extend(x for x in ((room - each * size, start, full), (room - rest * size, start + full, int(rest > 0))) if x[2])
+            rank += full * each + rest
+            left -= full * each + rest
+            return full + (rest > 0)
+
+        for room in sorted(r for r in runs if r >= size):
+            for start, n in runs.pop(room):
+                used = fill(room, start, n) if left else 0
+                if used < n:
+                    moved.append((room, start + used, n - used))
+            if not left:
+                break
+        if left:
+            each = capacity // size if size else left
+            opened += fill(capacity, opened, -(-left // each))
+        for room, start, n in moved:
+            runs.setdefault(room, []).append((start, n))
+        for room in {room for room, *_ in moved}:
+            runs[room].sort()
+        plan[size] = tuple(np.array(c, np.int64) for c in zip(*segments))
+    return plan
+
+
+def best_fit_decreasing(fragments: DataFrame, id_col: str, size_col: str, capacity: int, split: bool = False) -> DataFrame:
     """(`id_col`, ``part``, `size_col`, ``bin``): best-fit packing without separators. Items over the capacity are truncated,
-    or with ``split`` come in parts of the capacity and a rest. Ids and sizes are spread by hash over shards of about
-    ``shard_items``, each packed on its own; bins are numbered ``shard + shards * bin``."""
+    or with ``split`` come in parts of the capacity and a rest. Items are taken in descending size, ties by id and part; the
+    result is that of the sequential rule (:func:`place_best_fit`) at every size, as it is played on the driver over sizes
+    and their counts (at most ``capacity`` + 1 of them), and every item finds its bin from its rank."""
+    spark = fragments.sparkSession
     kind = fragments.schema[id_col].dataType.simpleString()
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
     parts = F.greatest(F.lit(1), F.ceil(size / capacity)).cast("int") if split else F.lit(1)
-    items = fragments.select(F.col(id_col), size.alias("__n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    items = written(items.select(id_col, "part", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("part") * capacity).alias(size_col)), "items")
-    shards = max(1, -(-items.count() // shard_items))
-    items = items.withColumn("__s", F.pmod(F.xxhash64(id_col, "part"), F.lit(shards)))
+    items = fragments.select(F.col(id_col).alias("i"), size.alias("__n"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    items = items.select("i", "part", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("part") * capacity).alias("n"))
+    sized = items.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "n", "i", "part").withColumn("p", F.spark_partition_id())
+    sized = written(sized, "items")
+    counts = {r["n"]: r["c"] for r in sized.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    shared = spark.sparkContext.broadcast(plan_best_fit(counts, capacity))
+    per = sized.groupBy("n", "p").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("n").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("n", "p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))
+    ranked = sized.join(offsets, ["n", "p"]).select("i", "part", "n", (F.row_number().over(Window.partitionBy("p", "n").orderBy("i", "part")) - 1 + F.col("b")).alias("r"))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size_col, id_col, "part"], ascending=[False, True, True], kind="stable")
-        bins = place_best_fit(pdf[size_col].tolist(), capacity)
-        return pdf.assign(bin=[b * shards + s for b, s in zip(bins, pdf["__s"])])[[id_col, "part", size_col, "bin"]]
+    def place(batches):
+        for b in batches:
+            n, r = b.column(2).to_numpy(), b.column(3).to_numpy()
+            bins = np.zeros(len(n), np.int64)
+            for one in np.unique(n).tolist():
+                on = n == one
+                first, into, each = shared.value[one]
+                k = np.searchsorted(first, r[on], side="right") - 1
+                bins[on] = into[k] + (r[on] - first[k]) // each[k]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bins)], [id_col, "part", size_col, "bin"])
 
-    return items.groupBy("__s").applyInPandas(pack, f"`{id_col}` {kind}, part int, `{size_col}` bigint, bin bigint")
+    return ranked.mapInArrow(place, f"`{id_col}` {kind}, part int, `{size_col}` bigint, bin bigint")
 
 
 def pack_documents(df: DataFrame, id_col: str, tokens: Column, sequence_length: int, overlap: float = 0.3, separator: str = "<eos>") -> DataFrame:
-    """(``part``, ``ordinal``, ``tokens``): full windows of every document (part 0), then bins of leftovers (part 1).
+    """(``part``, ``document``, ``ordinal``, ``tokens``): full windows of every document (part 0), in order of document and
+    number, its overlapping last one behind them, then bins of leftovers (part 1) in order of bin.
 
     Every sequence is shorter than ``sequence_length``, which leaves room for the end token a trainer adds. Bins hold
     their fragments in descending size with the separator between. The empty document is a fragment of no tokens. Ids must
@@ -167,11 +223,11 @@ def pack_documents(df: DataFrame, id_col: str, tokens: Column, sequence_length:
     """
     length = sequence_length - 1
     left = tails(df, id_col, tokens, length, overlap)
-    full = token_windows(df, id_col, tokens, length).select(F.concat_ws(":", id_col, "window").alias("ordinal"), "tokens")
-    last = left.where("kind = 'window'").select(F.concat_ws(":", id_col, F.lit("last")).alias("ordinal"), "tokens")
+    full = token_windows(df, id_col, tokens, length).select(F.col(id_col).alias("document"), F.col("window").cast("bigint").alias("ordinal"), "tokens")
+    last = left.where("kind = 'window'").select(F.col(id_col).alias("document"), F.lit(2**62).alias("ordinal"), "tokens")
     fragments = left.where("kind <> 'window'")
     placed = first_fit_decreasing(fragments.select(id_col, F.size("tokens").alias("n")), id_col, "n", length)
     joined = fragments.join(placed, id_col).groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("f"))
     glued = F.flatten(F.transform("f", lambda x, i: F.when(i == 0, x["tokens"]).otherwise(F.concat(F.array(F.lit(separator)), x["tokens"]))))
-    bins = joined.select(F.lit(1).alias("part"), F.col("bin").cast("string").alias("ordinal"), glued.alias("tokens"))
-    return full.unionByName(last).select(F.lit(0).alias("part"), "ordinal", "tokens").unionByName(bins)
+    bins = joined.select(F.lit(1).alias("part"), F.lit(None).cast(df.schema[id_col].dataType).alias("document"), F.col("bin").alias("ordinal"), glued.alias("tokens"))
+    return full.unionByName(last).select(F.lit(0).alias("part"), "document", "ordinal", "tokens").unionByName(bins)

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import tokens
+from quernstone.functions.text import is_blank, tokens
+from quernstone.session import written
 
 
 def normal_prompt(c: Column) -> Column:
@@ -68,19 +69,70 @@ def shingles(c: Column, width: int = 5) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(tokens(F.lower(c))), of)))
 
 
+def hashed(runs: Column) -> Column:
+    """64-bit hashes in place of the strings of an array."""
+    return F.transform(runs, lambda x: F.xxhash64(x))
+
+
 def shingle_contamination(rows: DataFrame, row_id: str, text: Column, items: DataFrame, item_id: str, item_text: Column, threshold: float, width: int = 5) -> DataFrame:
     """(`row_id`, `item_id`, ``similarity``): pairs whose shingle sets have at least this Jaccard similarity.
 
-    An equi-join on shingles; those of the benchmark, the small side, keep the rows' side to shingles that matter.
+    An equi-join on 64-bit hashes of the shingles; those of the benchmark, the small side, are broadcast if Spark finds them
+    small enough, and then only the rows' shingles that matter are moved.
     """
-    a = rows.select(F.col(row_id), shingles(text, width).alias("s")).withColumn("n", F.size("s"))
-    b = items.select(F.col(item_id), shingles(item_text, width).alias("t")).withColumn("m", F.size("t"))
+    a = rows.select(F.col(row_id), hashed(shingles(text, width)).alias("s")).withColumn("n", F.size("s"))
+    b = items.select(F.col(item_id), hashed(shingles(item_text, width)).alias("t")).withColumn("m", F.size("t"))
     left, right = a.select(row_id, "n", F.explode("s").alias("x")), b.select(item_id, "m", F.explode("t").alias("x"))
     both = left.join(right, "x").groupBy(row_id, item_id, "n", "m").agg(F.count("*").alias("k"))
     similarity = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
     return both.select(row_id, item_id, similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def normal_code(c: Column) -> Column:
+    """Code without comments and blank lines, every run of white space one blank, in lower case."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?m)#[^\n]*$", ""), r"\s+", " "))
+
+
+def dual_axis(rows: DataFrame, row_id: str, text: Column, code: Column, items: DataFrame, item_id: str, item_text: Column, item_code: Column, text_threshold: float = 0.5, code_threshold: float = 0.5, width: int = 5) -> DataFrame:
+    """(`row_id`, `item_id`, ``text_similarity``, ``code_similarity``): pairs near each other on either axis, each with a
+    threshold of its own; the similarity is null on an axis that stays below its threshold."""
+    on_text = shingle_contamination(rows, row_id, normal_prompt(text), items, item_id, normal_prompt(item_text), text_threshold, width).withColumnRenamed("similarity", "text_similarity")
+    on_code = shingle_contamination(rows, row_id, normal_code(code), items, item_id, normal_code(item_code), code_threshold, width).withColumnRenamed("similarity", "code_similarity")
+    return on_text.join(on_code, [row_id, item_id], "full").select(row_id, item_id, "text_similarity", "code_similarity")
+
+
+def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8, width: int = 5, most: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(classes: ``rep``, ``id``; links: ``a``, ``b``, ``similarity``): rows whose shingle sets are equal, and the pairs of class
+    representatives whose Jaccard similarity is at least the threshold. Exact.
+
+    Two sets that similar share one of the rarest ``n - ceil(threshold * n) + 1`` shingles of either, so only those are
+    joined; rarity is counted over the classes. A shingle that more than ``most`` classes have in front is met in salted
+    blocks. Null and wordless texts are in no class.
+    """
+    shingled = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(hashed(shingles(text, width)))).alias("s")).where(F.size("s") > 0)
+    keyed = written(shingled.withColumn("k", F.md5(F.array_join("s", ","))), "shingles")
+    reps = written(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.min_by("s", "id").alias("s")), "reps")
+    classes = keyed.select("id", "k").join(reps.select("k", "rep"), "k").select("rep", "id").distinct()
+    held = reps.select("rep", F.explode("s").alias("x"))
+    counts = held.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    # a shingle that one class alone has links nothing, but takes its place in front
+    ranked = held.join(counts, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("shared"))
+    sized = reps.join(ranked, "rep").withColumn("n", F.size("s"))
+    front = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    prefix = written(sized.where(front > 0).select("rep", "n", F.explode(F.slice("shared", 1, front)).alias("x")).select("rep", "n", "x.x"), "prefix")
+    salts = F.ceil(F.col("c") / most).cast("int")
+    crowd = prefix.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    met = prefix.join(crowd, "x")
+    a = met.select("x", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = met.select("x", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    pairs = a.join(b, ["x", "salt"]).where(near).select("a", "b").distinct()
+    both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    return classes, links
+
+
 def stop_if_contaminated(hits: DataFrame) -> None:
     """Raises if there is any hit: contamination must stop a run, not warn."""
     first = hits.head(1)
@@ -91,7 +143,9 @@ def stop_if_contaminated(hits: DataFrame) -> None:
 def memorization(items: DataFrame, item_text: Column, rows: DataFrame, text: Column) -> DataFrame:
     """(``n_items``, ``n_found``, ``rate``): the share of items whose normalised text is a normalised text of the rows."""
     wanted = items.select(normal_prompt(item_text).alias("k")).where("k <> ''")
-    known = rows.select(normal_prompt(text).alias("k")).where("k <> ''").distinct().withColumn("hit", F.lit(1))
+    wanted = wanted.select(F.md5("k").alias("k"))
+    # the rows are first reduced to what is wanted, by hash, so that no text is moved
+    known = rows.select(F.md5(normal_prompt(text)).alias("k")).join(wanted.distinct(), "k", "left_semi").distinct().withColumn("hit", F.lit(1))
     joined = wanted.join(known, "k", "left")
     return joined.agg(F.count("*").alias("n_items"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("rate"))
 
@@ -238,14 +292,14 @@ def old_form_canary(df: DataFrame, id_col: str, code_col: str) -> DataFrame:
 
 def missing_provenance(df: DataFrame, columns: list[str]) -> DataFrame:
     """(``column``, ``missing``): rows whose provenance columns are null or blank."""
-    counts = df.agg(*[F.count(F.when(F.col(c).isNull() | (F.trim(c) == ""), 1)).alias(c) for c in columns])
+    counts = df.agg(*[F.count(F.when(F.col(c).isNull() | is_blank(c), 1)).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in columns])
     return counts.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def diversity(df: DataFrame, by: str, text: Column, width: int = 5) -> DataFrame:
     """(`by`, ``n_rows``, ``n_shingles``, ``n_distinct``): how much of a slice is not repetition."""
-    rows = df.select(F.col(by), shingles(text, width).alias("s"))
+    rows = df.select(F.col(by), hashed(shingles(text, width)).alias("s"))
     per = rows.groupBy(by).agg(F.count("*").alias("n_rows"), F.sum(F.size("s")).alias("n_shingles"))
     distinct = rows.select(by, F.explode("s").alias("x")).distinct().groupBy(by).agg(F.count("*").alias("n_distinct"))
     return per.join(distinct, by, "left").select(by, "n_rows", "n_shingles", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.operators import datasets as D
-from quernstone.operators import doctree, generation, packing, quality, render
-from quernstone.session import shared_dir, spread, table
+from quernstone.operators import doctree, evaluation, generation, packing, quality, render, reporting
+from quernstone.session import keep_until_dropped, shared_dir, spread, table
 from quernstone.sources import files
 from quernstone.streaming import logs
 
@@ -45,17 +45,16 @@ def cpt_rows(s, d):
 
 @query
 def rendered_rows(s, d):
-    """Reference documents rendered as Markdown rows."""
-    docs = table(s, d, "documents").where("kind = 'reference'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    """All documents rendered as Markdown rows."""
+    docs = table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
     return render.render_markdown(docs)
 
 
 @query
 def path_order(s, d):
-    """Component-wise order of file names: the position of each distinct name among those of its directory."""
+    """Component-wise order of file names: the position of each distinct name among all."""
     names = table(s, d, "cpt").where("filename is not null").select("filename").distinct().withColumn("parts", T.path_key("filename"))
-    w = Window.partitionBy(F.element_at("parts", 1)).orderBy("parts")
-    return names.select("filename", F.row_number().over(w).cast("bigint").alias("place"))
+    return D.ranked(names, ["parts"]).select("filename", "place")
 
 
 @query
@@ -67,6 +66,7 @@ def jsonl_roundtrip(s, d):
     root = f"{shared_dir(s)}/jsonl-{uuid.uuid4().hex}"
     files.write_jsonl(docs.where("kind = 'prose'").drop("kind"), f"{root}/a.jsonl", "overwrite")
     files.write_jsonl(docs.where("kind is distinct from 'prose'").drop("kind"), f"{root}/b.jsonl", "overwrite")
+    keep_until_dropped(root)
     return files.read_jsonl(s, [f"{root}/a.jsonl", f"{root}/b.jsonl"], "doc_id bigint, text string")
 
 
@@ -84,7 +84,7 @@ def version_mentions(s, d):
 
 @query
 def section_extract(s, d):
-    docs = table(s, d, "documents").where("kind = 'reference' and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = table(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return doctree.changed_sections(docs, "3.15", "doc_id", "text")
 
 
@@ -182,13 +182,13 @@ def ffd_pack(s, d):
 @query
 def packed_sequences(s, d):
     packed = packing.pack_documents(_documents(s, d), "doc_id", T.tokens("text"), SEQUENCE)
-    return packed.select(F.col("part").cast("bigint").alias("part"), F.array_join("tokens", " ").alias("tokens"))
+    return packed.select(F.col("part").cast("bigint").alias("part"), "document", F.when(F.col("document").isNull() | (F.col("ordinal") < 2**62), F.col("ordinal")).alias("ordinal"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
 def best_fit_pack(s, d):
     sizes = _documents(s, d).select("doc_id", F.size(T.tokens("text")).alias("n"))
-    return packing.best_fit_decreasing(sizes, "doc_id", "n", SEQUENCE, split=True)
+    return packing.best_fit_decreasing(sizes, "doc_id", "n", SEQUENCE, split=True).withColumn("part", F.col("part").cast("bigint"))
 
 
 @query
@@ -216,7 +216,7 @@ def log_normalise(s, d):
 @query
 def log_chunks(s, d):
     """Documents as chunks of one log per source: lines run on from chunk to chunk."""
-    chunks = _documents(s, d).where("source is not null").select(F.col("source").alias("stream"), F.col("doc_id").alias("seq"), F.col("text").alias("chunk"))
+    chunks = _documents(s, d).select(F.coalesce("source", F.lit("none")).alias("stream"), F.col("doc_id").alias("seq"), F.col("text").alias("chunk"))
     return logs.log_batch(chunks).select("stream", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
@@ -274,9 +274,10 @@ def eval_pass_rate(s, d):
 
 @query
 def judge_quarantine(s, d):
-    """Rows with what their last verdict makes of them: kept with their expected output, or quarantined."""
+    """Rows with what their last verdict makes of them: kept with their expected output, or quarantined; a verified row needs
+    no verdict."""
     last = table(s, d, "verdicts").groupBy("sft_id").agg(F.max_by("passed", F.struct("attempt", "verdict_id", F.coalesce("passed", F.lit(False)))).alias("passed"))
-    rows = table(s, d, "sft").select("sft_id", "expected_output", "trace").join(last, "sft_id")
+    rows = table(s, d, "sft").select("sft_id", "expected_output", "trace").join(last, "sft_id", "left")
     same = D.verified(F.col("trace"), F.col("expected_output"))
     kept, output = D.settle(same, F.col("passed"), F.col("expected_output"), F.col("trace"))
     return rows.select("sft_id", kept.alias("kept"), output.alias("output"))
@@ -293,7 +294,7 @@ def worker_grid(s, d):
 def source_catalogue(s, d):
     out = None
     entries = table(s, d, "source_catalogue")
-    for v in ("3.14", "3.15"):
+    for v in sorted(r["target_version"] for r in entries.select("target_version").where("target_version is not null").distinct().collect()):  # a small fixed catalogue
         one = files.of_version(entries, v).select("target_version", "destination", "url")
         out = one if out is None else out.unionByName(one)
     return out
@@ -340,4 +341,79 @@ def generated_rows(s, d):
     """Rows made from catalogue entries by the offline model and runner, with their status."""
     docs = table(s, d, "source_catalogue").select(F.col("name").alias("filename"), F.col("url").alias("text"))
     ideas = generation.ideas_of(docs, generation.HashModel)
-    return generation.rows_of(ideas, generation.HashModel, generation.EchoRunner)
+    return generation.rows_of(ideas, generation.HashModel, generation.EchoRunner, docs)
+
+
+@query
+def near_dups(s, d):
+    """Pairs of documents, one for each class of equal shingle sets, that share at least 0.8 of their five-word shingles."""
+    _, links = quality.near_duplicates(_documents(s, d), "doc_id", F.col("text"))
+    return links.select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def near_dup_classes(s, d):
+    """The class of equal shingle sets of every document."""
+    classes, _ = quality.near_duplicates(_documents(s, d), "doc_id", F.col("text"))
+    return classes.select(F.col("id").alias("doc_id"), "rep")
+
+
+@query
+def contamination_dual(s, d):
+    """Rows near a held-out item by their idea or by their code."""
+    hits = quality.dual_axis(spread(table(s, d, "sft")), "sft_id", F.col("idea"), F.col("code"), table(s, d, "eval_prompts"), "item_id", F.col("prompt"), F.col("answer"), 0.02, 0.02)
+    return hits.withColumn("text_similarity", F.round("text_similarity", 9)).withColumn("code_similarity", F.round("code_similarity", 9))
+
+
+@query
+def shuffled_order(s, d):
+    return D.shuffled(table(s, d, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def trainer_text(s, d):
+    """What a trainer reads of pairs and of texts."""
+    sft, cpt = table(s, d, "sft"), table(s, d, "cpt")
+    return sft.select(F.lit("sft").alias("tab"), F.col("sft_id").alias("row_id"), D.text_column(sft).alias("text")).unionByName(cpt.select(F.lit("cpt").alias("tab"), F.col("cpt_id").alias("row_id"), D.text_column(cpt).alias("text")))
+
+
+@query
+def sft_projection(s, d):
+    """The columns of fine-tuning rows, messages laid open."""
+    made = table(s, d, "sft").select("sft_id", F.col("idea").alias("prompt"), F.col("trace").alias("explanation"), "filename", "python_version", "idea", "code", "trace", "expected_output")
+    rows = D.sft_rows(made)
+    return rows.select("filename", "python_version", "idea", "code", "trace", "expected_output", *(F.element_at(c, 1)[f].alias(f"{c}_{f}") for c in ("prompt", "completion") for f in ("role", "content")))
+
+
+@query
+def seed_texts(s, d):
+    rows = table(s, d, "sft").where("idea is not null and code is not null")
+    return reporting.seed_rows(rows, "t-strings", F.col("idea"), F.col("code"))
+
+
+@query
+def check_partition(s, d):
+    """Verdicts that passed and those that did not, an unknown result among the latter."""
+    kept, failed = reporting.partition_by_check(table(s, d, "verdicts"), F.col("passed"))
+    return kept.select("verdict_id", "sft_id", F.lit(True).alias("kept")).unionByName(failed.select("verdict_id", "sft_id", F.lit(False).alias("kept")))
+
+
+@query
+def passed_share(s, d):
+    """The percentage of verdicts that passed, by attempt, as text."""
+    per = table(s, d, "verdicts").groupBy("attempt").agg(F.count("*").alias("n"), F.count_if("passed").alias("k"))
+    return per.select("attempt", reporting.share(F.col("k"), F.col("n")).alias("share"))
+
+
+@query
+def first_rows(s, d):
+    """The first 25 documents by id, and a limit of 0, which means all, of the catalogue."""
+    first = reporting.limited(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("name"), "doc_id").orderBy("doc_id").select("name"), 25)
+    return first.unionByName(reporting.limited(table(s, d, "source_catalogue").select("name").orderBy("name"), 0))
+
+
+@query
+def eval_loop(s, d):
+    """Held-out items completed by the offline model, their code taken out and checked, and the pass rate by label."""
+    _, rated = evaluation.evaluate(table(s, d, "eval_prompts"), "item_id", "prompt", "label", generation.HashModel, quality.has_template_string)
+    return rated

@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quernstone-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -62,6 +64,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
+def keep_until_dropped(path: str) -> None:
+    """Has a folder that a query has written deleted with the others."""
+    _written.append(path)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes what :func:`written` has put into the shared folder; call it once results are saved. Returns how many."""
     n = 0
