@@ -78,7 +78,7 @@ def pack_items(
         .withColumn("n_tokens", F.least(F.lit(capacity).cast("bigint"), F.col("__n") - F.col("from_token")))
         .drop("__n")
     )
-    items = written(items, "pack")
+    items = written(items.withColumn("__row", F.monotonically_increasing_id()), "pack")
     shards = max(1, -(-items.count() // shard_items))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +87,7 @@ def pack_items(
         return pdf.assign(container=pdf["__shard"] * (1 << 32) + into, offset=offset)[[id_col, "part", "n_tokens", "from_token", "container", "offset"]]
 
     return (
-        items.withColumn("__shard", F.pmod(F.xxhash64(id_col, "part"), F.lit(shards)))
+        items.withColumn("__shard", F.pmod(F.xxhash64(id_col, "part", "__row"), F.lit(shards)))
         .groupBy("__shard")
         .applyInPandas(pack, f"`{id_col}` {kind}, part int, n_tokens bigint, from_token bigint, container bigint, offset bigint")
     )

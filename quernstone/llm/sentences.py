@@ -367,7 +367,7 @@ def _asked(text: str) -> set[str]:
 
 
 def split_sentences(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: DataFrame | None = None, with_text: bool = True, most: int = 500_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: DataFrame | None = None, with_text: bool = True, most: int = 200_000
 ) -> DataFrame:
     """(`id_col`, ``sentence``, ``start``, ``end``[, ``sentence_text``]): the sentences of every document in order, from 0;
     ``end`` counts the code points up to and including a sentence's last character.

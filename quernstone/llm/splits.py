@@ -64,6 +64,25 @@ def components(edges: DataFrame) -> DataFrame:
     return parent
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, most: int = 10_000, least: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each key once, or nulls. A key may hold any share of the rows: rows
+    without a key are not moved, and keys of more than ``least`` rows and one in ``most`` of all, so fewer than ``most``
+    keys, meet a broadcast part of the table where they lie."""
+    none = rows.where(F.col(key).isNull())
+    for c in table.columns:
+        if c != key:
+            none = none.withColumn(c, F.lit(None).cast(table.schema[c].dataType))
+    keyed_rows = rows.where(F.col(key).isNotNull())
+    floor = max(least, rows.count() // most)
+    often = keyed_rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > floor).select(key)
+    often = written(often, "often")
+    if not often.head(1):
+        return keyed_rows.join(table, key, "left").unionByName(none)
+    held = F.broadcast(often.join(table, key, "left"))
+    rest = keyed_rows.join(F.broadcast(often), key, "left_anti").join(table, key, "left")
+    return keyed_rows.join(held, key).unionByName(rest).unionByName(none)
+
+
 def linked(df: DataFrame, id_col: str = "sft_id", file_col: str = "filename", idea_col: str = "idea") -> tuple[DataFrame, DataFrame]:
     """The keyed rows, and the component root of every file and idea vertex.
 
@@ -93,8 +112,7 @@ def split_together(df: DataFrame, proportions: dict[str, float] | None = None, i
     at = F.coalesce("f", "i")
     alone = F.unhex(F.md5(F.concat_ws("\x1f", F.lit("r"), F.col(id_col).cast("string"))))
     labelled = (
-        rows.select(id_col, at.alias("v"))
-        .join(roots, "v", "left")
+        looked_up(written(rows.select(id_col, at.alias("v")), "at"), "v", roots)
         .select(id_col, F.coalesce("root", "v", alone).alias("component"))
     )
     labelled = written(labelled, "labelled")
@@ -115,7 +133,7 @@ def split_together(df: DataFrame, proportions: dict[str, float] | None = None, i
         seen = seen + F.coalesce(F.col(f"q{k}"), F.lit(0))
         split = F.coalesce(split, F.when(F.col("rank") <= seen, names[k]))
     assigned = ranked.select("component", F.coalesce(split, F.lit(names[0])).alias("split"))
-    return labelled.join(assigned, "component").select(id_col, "split", F.lower(F.hex("component")).alias("component"))
+    return looked_up(labelled, "component", assigned).select(id_col, "split", F.lower(F.hex("component")).alias("component"))
 
 
 def choose(multiplicity: dict[int, int], proportions: dict[str, float], most_bits: int = 1 << 29) -> dict[int, tuple[int, ...]]:
@@ -178,11 +196,15 @@ def _closest(multiplicity: dict[int, int], target: int, most_bits: int) -> dict[
     return got
 
 
-def names_together(df: DataFrame, id_col: str = "sft_id", file_col: str = "filename", idea_col: str = "idea") -> DataFrame:
+def names_together(df: DataFrame, id_col: str = "sft_id", file_col: str = "filename", idea_col: str = "idea", block: int = 2048) -> DataFrame:
     """(``filename_a``, ``filename_b``): pairs of different raw names in one component, the smaller first by code points.
     Names that name nothing are in no pair; other cases as in :func:`split_together`."""
     rows, roots = linked(df, id_col, file_col, idea_col)
     names = rows.where("f is not null").select("name", F.col("f").alias("v")).distinct()
     named = written(names.join(roots, "v", "left").select("name", F.coalesce("root", "v").alias("root")), "names")
-    a, b = named.select("root", F.col("name").alias("filename_a")), named.select("root", F.col("name").alias("filename_b"))
-    return a.join(b, "root").where("filename_a < filename_b").select("filename_a", "filename_b").distinct()
+    # the names of one component meet in blocks: no task gets all pairs of a large one
+    sizes = written(named.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"), "blocks")
+    met = looked_up(named, "root", sizes).where("blocks is not null")
+    a = met.select("root", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block"), F.col("name").alias("filename_a"))
+    b = met.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("name").alias("filename_b"))
+    return a.join(b, ["root", "block"]).where("filename_a < filename_b").select("filename_a", "filename_b").distinct()

@@ -103,6 +103,21 @@ def test_names_together(spark):
     assert got == [("A\\x.rst", "a/x.rst"), ("A\\x.rst", "b/y.rst"), ("a/x.rst", "b/y.rst")]
 
 
+def test_hot_and_missing_keys_meet_their_rows(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 == 0 else None if k % 3 == 1 else f"k{k % 40}") for k in range(3000)], "i int, key string")
+    table = spark.createDataFrame([("hot", 1), *((f"k{k}", 2) for k in range(30))], "key string, value int")
+    want = sorted(map(tuple, rows.join(table, "key", "left").select("i", "key", "value").collect()), key=str)
+    for least in (10, 100_000):
+        got = splits.looked_up(rows, "key", table, most=20, least=least)
+        assert sorted(map(tuple, got.select("i", "key", "value").collect()), key=str) == want
+
+
+def test_names_of_a_large_component_meet_in_blocks(spark):
+    rows = [(k, f"d/f{k}.rst", "one idea") for k in range(50)]
+    whole = splits.names_together(sft(spark, rows)).collect()
+    assert len(whole) == 50 * 49 // 2 and sorted(whole) == sorted(splits.names_together(sft(spark, rows), block=7).collect())
+
+
 # ---- near copies
 
 
