@@ -78,8 +78,10 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for stages that compute much per row. An input that
-    already comes in enough pieces, as any large one does, stays as it is, without a shuffle."""
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """``df`` over as many partitions as there are cores, for stages that compute much per row, where it comes in fewer, and
+    in at most ``most``: about 8 GB at the usual size of a split. A larger input is never shuffled for this; where it has
+    fewer splits than the cluster has cores, ``spark.sql.files.maxPartitionBytes`` makes more of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores and n <= most else df

@@ -8,6 +8,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
 
+@pytest.fixture(autouse=True)
+def nothing_left(request):
+    """Whatever a test has had written is deleted behind it."""
+    yield
+    if "spark" in request.fixturenames:
+        from quernstone.session import drop_written
+
+        drop_written(request.getfixturevalue("spark"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (
