@@ -22,7 +22,7 @@ class Crf:
             row[: len(s)] = s
         return x, sizes
 
-    def fit(self, sequences: list[np.ndarray], tags: list[np.ndarray], rounds: int = 250, decay: float = 1e-5) -> "Crf":
+    def fit(self, sequences: list[np.ndarray], tags: list[np.ndarray], rounds: int = 250, decay: float = 3e-4) -> "Crf":
         """Maximises the penalised conditional likelihood over all sequences at once, by limited-memory quasi-Newton steps;
         equal sequences count as one with a weight."""
         weights: dict[tuple, float] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import random
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -101,6 +102,7 @@ def clauses(text: str) -> list[Clause]:
     return [c for c in out if c.weight or c.kind == "open"]
 
 
+@lru_cache(8192)
 def squeezed(text: str) -> str:
     """Letters and digits only, apart from case, width and invisible characters."""
     return "".join(c for c in plain(text).casefold() if c.isalnum())
@@ -122,13 +124,15 @@ _NAME_LIKE = re.compile(r"`|\w_\w|\w\(|[a-z][A-Z]|\d|\w\.\w")
 _NAMED = re.compile(r"[A-Za-z_]\w{3,}")
 
 
+@lru_cache(8192)
 def _strongest(text: str):
     found = scores(text)
     return max(found.items(), key=lambda x: (x[1], x[0])) if found else (None, 0.0)
 
 
-def requested(prompt: str) -> set[str]:
-    return {_NAMES[n] for n in _NAME.findall(prompt.casefold())}
+@lru_cache(1024)
+def requested(prompt: str) -> frozenset[str]:
+    return frozenset(_NAMES[n] for n in _NAME.findall(prompt.casefold()))
 
 
 def featured(parts: list[Clause], prompt: str, wording: Wording) -> np.ndarray:
@@ -284,7 +288,7 @@ def _spoken(made: Planted) -> tuple[list[str], list[bool]]:
 
 def train(rows: list[tuple[str, str]], folds: int = 2) -> Tagger:
     """A tagger from pairs in which defects are planted. The wording scores that the random field is trained on come from a
-    model that has not seen the fold they stand in; pairs that a first tagger finds defective are not answers, and are left
+    model that has not seen the fold they stand in, and the tagger has the mean of these models; pairs that a first tagger finds defective are not answers, and are left
     out of the training of the second, which is returned."""
     tagger = None
     for rounds in (80, 250):
@@ -297,12 +301,14 @@ def train(rows: list[tuple[str, str]], folds: int = 2) -> Tagger:
             return tagger or Tagger(Wording(), Crf(LABELS, len(FEATURES)))
         xs: list[np.ndarray] = []
         ys: list[np.ndarray] = []
+        models: list[Wording] = []
         for fold in range(folds):
             own = made[fold::folds]
             wording = Wording().fit(*_spoken([m for k, m in enumerate(made) if k % folds != fold] or own))
+            models.append(wording)
             xs += [featured(parts, prompt, wording) for parts, prompt, _ in own]
             ys += [np.array(tags) for _, _, tags in own]
-        tagger = Tagger(Wording().fit(*_spoken(made)), Crf(LABELS, len(FEATURES)).fit(xs, ys, rounds))
+        tagger = Tagger(Wording.mean(models), Crf(LABELS, len(FEATURES)).fit(xs, ys, rounds))
     return tagger
 
 

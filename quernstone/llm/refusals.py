@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,7 +25,7 @@ FRAMES = {
     "fr": (
         ("Je ne peux pas {}.", "Je ne vais pas {}.", "Je refuse de {}.", "Je ne veux pas {}.", "Je suis désolé, mais je ne peux pas {}.", "Désolée, je ne pourrai pas {}.", "Je préfère ne pas {}.", "Je dois refuser de {}.", "Malheureusement, je ne suis pas en mesure de {}.", "Il m'est impossible de {}.", "Je ne souhaite pas {}.", "Je dois malheureusement refuser de {}."),
         ("répondre", "répondre à cette demande", "répondre à cette question", "vous aider", "t'aider", "écrire cet exemple", "écrire ce code", "parler de {t}", "donner un exemple", "faire cela", "traiter ce sujet", "discuter de cela", "fournir cette réponse"),
-        ("Je refuse.", "Je décline cette demande.", "Je dois décliner.", "Je passe.", "Sans commentaire.", "Je n'ai pas assez de connaissances sur {t} pour répondre.", "En tant que modèle de langage, je ne peux pas répondre.", "Mes règles ne me le permettent pas.", "Cela va contre mes règles.", "Je m'abstiens de répondre.", "Je ne réponds pas à cela.", "Je ne dirai rien à ce sujet.", "Non, désolé.", "Je préfère m'abstenir.", "Aucune réponse de ma part.", "Demandez à quelqu'un d'autre."),
+        ("Je refuse.", "Je décline cette demande.", "Je dois décliner.", "Je passe.", "Sans commentaire.", "Je n'ai pas assez de connaissances sur {t} pour répondre.", "En tant que modèle de langage, je ne peux pas répondre.", "Mes règles ne me le permettent pas.", "Cela va contre mes règles.", "Je m'abstiens de répondre.", "Je ne réponds pas à cela.", "Je ne dirai rien à ce sujet.", "Non, désolé.", "Je préfère m'abstenir.", "Aucune réponse de ma part.", "Demandez à quelqu'un d'autre.", "Je refuse d'écrire ce code.", "Je suis obligé de refuser.", "Je dois hélas refuser d'aider.", "Je refuse d'en parler."),
     ),
     "es": (
         ("No puedo {}.", "No voy a {}.", "Lo siento, pero no puedo {}.", "Me niego a {}.", "Prefiero no {}.", "No quiero {}.", "No me es posible {}.", "Lamentablemente no podré {}.", "No debo {}.", "Debo negarme a {}.", "No estoy en condiciones de {}.", "No me está permitido {}."),
@@ -71,7 +72,8 @@ _UNSPACED = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 CELLS = 1 << 18
 
 
-def cues(text: str) -> list[int]:
+@lru_cache(8192)
+def cues(text: str) -> tuple[int, ...]:
     """Hashes of words, their stems and pairs; of characters, pairs and triples where a script has no blanks. Names with
     digits or underscores are all one word."""
     low = text.casefold().replace("’", "'")
@@ -86,7 +88,7 @@ def cues(text: str) -> list[int]:
         out += words
         out += [w[:5] + "~" for w in words if len(w) > 5]
         out += map(" ".join, zip(["^", *words], [*words, "$"]))
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (CELLS - 1) for x in set(out)]
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) & (CELLS - 1) for x in set(out))
 
 
 class Wording:
@@ -117,6 +119,15 @@ class Wording:
         self.bias = float(b)
         return self
 
+    @classmethod
+    def mean(cls, models: list["Wording"]) -> "Wording":
+        out = cls()
+        out.bias = sum(m.bias for m in models) / len(models)
+        for m in models:
+            for c, w in m.weights.items():
+                out.weights[c] = out.weights.get(c, 0.0) + w / len(models)
+        return out
+
     def score(self, text: str) -> float:
         found = cues(text)
         known = self.weights.get
