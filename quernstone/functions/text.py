@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 # The 29 characters that Python's str.isspace() accepts.
 WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: what str.splitlines() breaks at
+# What str.splitlines() breaks at.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-#: characters that make a line look like code to :func:`extract_heuristic`
+# Characters of a line of code, marks of a line of prose, its openings, the fence of code, the note of a cut.
 _CODE_CHARS = r"[=:().\\]"
+_MARKS = r"^[#\-*>`]"
+_OPENINGS = "^(?:I'm|You|Here)"
+_FENCED = r"(?s)```python\s*\n(.*?)```"
+_CUT = ("... [truncated, ", " more characters]")
 
 
 def _col(c: Column | str) -> Column:
@@ -38,7 +42,7 @@ def splitlines(c: Column | str) -> Column:
 def truncate(c: Column | str, limit: int = 12_000) -> Column:
     """At most ``limit`` code points, and how many more there were."""
     c = _col(c)
-    more = F.concat(F.substring(c, 1, limit), F.lit("... [truncated, "), (F.length(c) - limit).cast("string"), F.lit(" more characters]"))
+    more = F.concat(F.substring(c, 1, limit), F.lit(_CUT[0]), (F.length(c) - limit).cast("string"), F.lit(_CUT[1]))
     return F.when(F.length(c) <= limit, c).otherwise(F.when(c.isNotNull(), more))
 
 
@@ -55,7 +59,7 @@ def longest(items: Column) -> Column:
 
 def extract_fence(c: Column | str) -> Column:
     """The longest ```python block, stripped; null if there is none."""
-    return strip(longest(F.regexp_extract_all(_col(c), F.lit(r"(?s)```python\s*\n(.*?)```"), F.lit(1))))
+    return strip(longest(F.regexp_extract_all(_col(c), F.lit(_FENCED), F.lit(1))))
 
 
 def _is_prose(line: Column) -> Column:
@@ -70,11 +74,10 @@ def _class(chars: str) -> str:
 def extract_heuristic(c: Column | str) -> Column:
     """The text without leading and trailing lines that read as markup or prose, stripped. A blank line stops the trimming."""
     lines = F.split(strip(c), "\n")
-    mark = r"^[#\-*>`]"
-    lead = F.transform(lines, lambda x: x.rlike(mark) | x.rlike("^(?:I'm|You|Here)") | _is_prose(x))
+    lead = F.transform(lines, lambda x: x.rlike(_MARKS) | x.rlike(_OPENINGS) | _is_prose(x))
     first = F.array_position(lead, F.lit(False))  # 0: every line goes
     rest = F.slice(lines, first, F.size(lines))
-    tail = F.transform(rest, lambda x: x.rlike(mark) | x.contains("---") | _is_prose(x))
+    tail = F.transform(rest, lambda x: x.rlike(_MARKS) | x.contains("---") | _is_prose(x))
     last = F.size(rest) - F.array_position(F.reverse(tail), F.lit(False)) + 1
     kept = F.when(F.array_position(F.reverse(tail), F.lit(False)) == 0, F.lit("")).otherwise(strip(F.array_join(F.slice(rest, 1, last), "\n")))
     return F.when(_col(c).isNull(), F.lit(None).cast("string")).when(first == 0, "").otherwise(kept)

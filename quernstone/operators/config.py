@@ -174,6 +174,14 @@ def stages(experiment: Experiment) -> list[str]:
     return [s for s in ("cpt", "sft") if datasets(getattr(experiment.sources, s))]
 
 
+def steps(experiment: Experiment, evaluated: bool = True) -> list[str]:
+    """All steps of a run in order: each stage, with the fixed questions asked before the first and after every one."""
+    order = stages(experiment)
+    if not evaluated or not order:
+        return order
+    return ["eval before", *(x for s in order for x in (s, f"eval after {s}"))]
+
+
 def run_directory(command: str, when) -> str:
     """Name of a run's directory, to the minute."""
     return f"{when:%Y%m%d-%H%M}-{command}"

@@ -181,6 +181,7 @@ def changed_sections(docs: DataFrame, version: str, name_col: str, text_col: str
 
 
 def change_documents(sections: DataFrame) -> DataFrame:
-    """(``document``, ``text``): the sections of a document in the order of their first notes, parted by rules."""
+    """(``document``, ``text``): the sections of a document in the order of their first notes, parted by rules; documents in
+    order of their names."""
     ordered = F.array_sort(F.collect_list(F.struct("note_id", "section_id", "text")))
-    return sections.groupBy("document").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n----\n\n").alias("text"))
+    return sections.groupBy("document").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n----\n\n").alias("text")).orderBy("document")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 from collections.abc import Callable
 from typing import Any, Protocol
 
@@ -177,6 +178,35 @@ class HashModel:
         return json.dumps({"code": f"print({h % 100})", "trace": "so it is", "expected_output": f"{h % 100 + (h % 3 == 0)}"})
 
 
+class Limited:
+    """A runner whose runs end: one that takes longer than ``seconds`` gives the note below in place of its output, and long
+    output is cut. The run itself goes on in a thread of its own; an isolating runner must end it."""
+
+    # The note of a run that did not end.
+    NOTE = "[did not terminate within {} seconds]"
+
+    def __init__(self, runner: Runner, seconds: float = 10, limit: int = MAX_OUTPUT):
+        self.runner, self.seconds, self.limit = runner, seconds, limit
+
+    def run(self, code: str) -> str:
+        got: list = []
+
+        def call():
+            try:
+                got.append((self.runner.run(code), None))
+            except Exception as e:
+                got.append((None, e))
+
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(self.seconds)
+        if not got:
+            return self.NOTE.format(f"{self.seconds:g}")
+        if got[0][1]:
+            raise got[0][1]
+        return capped(got[0][0], self.limit)
+
+
 class EchoRunner:
     """An offline runner: the output of ``print(n)`` is n; nothing is executed."""
 

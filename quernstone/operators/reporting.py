@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quernstone.operators.generation import Runner, capped
 
 KNOWN = ("filename", "python_version", "idea", "code", "trace", "expected_output", "prompt", "completion")
-COLOURS = {"system": "yellow", "user": "cyan", "assistant": "green"}
+# Colours of message roles.
+COLOURS = {"user": "cyan", "assistant": "green", "system": "yellow"}
 
 
 def preview(row: dict) -> str:
@@ -49,6 +50,13 @@ def partition_by_check(df: DataFrame, check: Column) -> tuple[DataFrame, DataFra
     return df.where(ok), df.where(~ok)
 
 
+def check_totals(df: DataFrame, check: Column) -> DataFrame:
+    """(``total``, ``kept``, ``failed``): one row, zeros for an empty table; an unknown result fails. The failed rows
+    themselves are those of :func:`partition_by_check`."""
+    ok = F.coalesce(check, F.lit(False))
+    return df.agg(F.count("*").alias("total"), F.count_if(ok).alias("kept"), F.count_if(~ok).alias("failed"))
+
+
 def share(part: Column, whole: Column) -> Column:
     """A percentage with four decimals, as text; null where there is nothing to share."""
     return F.when(whole != 0, F.format_string("%.4f", 100.0 * part / whole))
@@ -66,6 +74,19 @@ def python_json(df: DataFrame, column: str = "json") -> DataFrame:
     return df.mapInArrow(run, f"`{column}` string")
 
 
+def pair_json(df: DataFrame, id_col: str, prompt_col: str, response_col: str) -> DataFrame:
+    """(`id_col`, ``messages``, ``json``): a user's and an assistant's message, and their list as indented JSON text."""
+    kind = df.schema[id_col].dataType.simpleString()
+    pair = F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("content")) for r, c in (("user", prompt_col), ("assistant", response_col))))
+
+    def run(batches):
+        for b in batches:
+            text = pa.array([json.dumps(m, indent=2) for m in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [id_col, "messages", "json"])
+
+    return df.select(F.col(id_col), pair.alias("messages")).mapInArrow(run, f"`{id_col}` {kind}, messages array<struct<role:string,content:string>>, json string")
+
+
 def write_metrics(spark: SparkSession, metrics: dict[str, object], path: str) -> None:
     """A run's parameters and figures as one JSON row per name, appended."""
     rows = [(str(k), ",".join(map(str, v)) if isinstance(v, (list, tuple)) else None if v is None else str(v)) for k, v in metrics.items()]

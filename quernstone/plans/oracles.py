@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from quernstone.functions.text import LINE_BREAK, WS
 
 _WS = "||".join(f"chr({ord(c)})" for c in WS)
@@ -88,6 +90,9 @@ select a, b, round(k / (n + m - k), 9) as similarity from (select l.doc_id as a,
     "seed_texts": "select '# t-strings: ' || idea || chr(10) || code as text from sft where idea is not null and code is not null",
     "check_partition": "select verdict_id, sft_id, coalesce(passed, false) as kept from verdicts",
     "passed_share": "select attempt, printf('%.4f', 100.0::double * count(*) filter (passed) / count(*)) as share from verdicts group by attempt",
+    "check_counts": "select count(*) as total, count(*) filter (passed) as kept, count(*) - count(*) filter (passed) as failed from verdicts",
+    "message_pairs": "select sft_id, 'user' as first_role, 'assistant' as second_role, idea as asked, code as replied from sft",
+    "seed_patterns": "select name, category, p.k::int as pattern_no, p.pattern as pattern from source_catalogue cross join (values (0, 'explain'), (1, 'rewrite'), (2, 'test')) p(k, pattern)",
     "first_rows": "(select doc_id::varchar as name from documents order by doc_id limit 25) union all select name from source_catalogue",
     "token_counts": f"select doc_id, len(t) as n_tokens from ({_DOCS})",
     "token_windows": f"select doc_id, \"window\", array_to_string(x, ' ') as tokens from ({_WINDOWS})",
@@ -123,7 +128,10 @@ select sft_id, same or coalesce(passed, false) as kept, case when same then expe
 from (select s.sft_id, coalesce(trim(trace, {_WS}) = trim(expected_output, {_WS}), false) as same, passed, expected_output, trace from sft s left join last using (sft_id))""",
     "worker_grid": "select n as workers, floor(sqrt(n))::bigint as n_rows, n // floor(sqrt(n))::bigint as n_columns from range(1, 201) t(n)",
     "source_catalogue": "select target_version, 'input/' || category || '/' || name || '.rst' as destination, url from source_catalogue where target_version is not null",
-    "foreign_imports": "select sft_id, module from (select distinct sft_id, unnest(list_concat(regexp_extract_all(code, '(?m)^[ \\t]*import[ \\t]+([A-Za-z_][A-Za-z0-9_]*)', 1), regexp_extract_all(code, '(?m)^[ \\t]*from[ \\t]+([A-Za-z_][A-Za-z0-9_]*)[A-Za-z0-9_.]*[ \\t]+import', 1))) as module from sft where code is not null) where module not in ('sys', 'os', 're', 'json', 'string')",
+    "foreign_imports": "with lines as (select sft_id, unnest(string_split_regex(code, '[;\\n]')) as line from sft where code is not null), "
+    "named as (select sft_id, unnest(string_split(regexp_extract(line, '^[ \\t]*import[ \\t]+(.+)$', 1), ',')) as name from lines union all select sft_id, regexp_extract(line, '^[ \\t]*from[ \\t]+([A-Za-z_][A-Za-z0-9_.]*)[ \\t]+import', 1) from lines), "
+    "tops as (select distinct sft_id, regexp_extract(trim(name), '^[A-Za-z_][A-Za-z0-9_]*') as module from named) "
+    f"select sft_id, module from tops where module <> '' and module not in ({', '.join(repr(m) for m in sorted(sys.stdlib_module_names))})",
     "on_target": "select sft_id, regexp_matches(code, '(?:^|[^A-Za-z0-9_''\"])[tT][rR]?[''\"]|(?:^|[^A-Za-z0-9_''\"])[rR][tT][''\"]') as on_target from sft where code is not null",
     "missing_provenance": " union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} is null or trim({c}, {_WS}) = '') as missing from sft" for c in ("filename", "python_version", "idea")),
     "diversity": f"""with r as (select coalesce(kind, 'none') as kind, {_SHINGLES.format("t")} as s from (select kind, {_LOWER_TOKENS.format("text")} as t from documents where text is not null))

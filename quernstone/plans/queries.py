@@ -405,6 +405,26 @@ def passed_share(s, d):
     return per.select("attempt", reporting.share(F.col("k"), F.col("n")).alias("share"))
 
 
+@query
+def check_counts(s, d):
+    """Verdicts in all, passed and not."""
+    return reporting.check_totals(table(s, d, "verdicts"), F.col("passed"))
+
+
+@query
+def message_pairs(s, d):
+    """Idea and code as a pair of messages, laid open."""
+    made = reporting.pair_json(table(s, d, "sft").select("sft_id", "idea", "code"), "sft_id", "idea", "code")
+    told = [F.get_json_object("json", f"$[{k}].content").alias(n) for k, n in enumerate(("asked", "replied"))]
+    return made.select("sft_id", F.element_at("messages", 1)["role"].alias("first_role"), F.element_at("messages", 2)["role"].alias("second_role"), *told)
+
+
+@query
+def seed_patterns(s, d):
+    """Every catalogue entry with every pattern."""
+    return files.with_patterns(table(s, d, "source_catalogue").select("name", "category"), ["explain", "rewrite", "test"])
+
+
 @query
 def first_rows(s, d):
     """The first 25 documents by id, and a limit of 0, which means all, of the catalogue."""

@@ -74,6 +74,25 @@ def write_documents(df: DataFrame, root: str, name_col: str = "document", text_c
     df.select(name_col, text_col).where(F.col(text_col).isNotNull()).foreachPartition(put)
 
 
+def require_file(root: str, name: str = "conf.py") -> None:
+    """Raises unless a documentation root holds its configuration file."""
+    if not os.path.isfile(os.path.join(root, name)):
+        raise ValueError(f"no {name} in {root}")
+
+
+def example_rows(spark: SparkSession, examples: list[tuple[str, str]]) -> DataFrame:
+    """(``ordinal``, ``description``, ``code``): a literal table of examples, in order."""
+    return spark.createDataFrame([(k, *e) for k, e in enumerate(examples)], "ordinal int, description string, code string")
+
+
+def with_patterns(seeds: DataFrame, patterns: list[str], most: int = 1000) -> DataFrame:
+    """Every seed with every approved pattern (``pattern``, numbered by ``pattern_no``): each row is multiplied where it lies
+    by a literal list of at most ``most`` patterns; no join, no shuffle."""
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns")
+    return seeds.select("*", F.posexplode(F.array(*map(F.lit, patterns)).cast("array<string>")).alias("pattern_no", "pattern"))
+
+
 def catalogue(spark: SparkSession, nested: dict[str, dict[str, dict[str, str]]]) -> DataFrame:
     """A nested literal, version to category to name to address, as rows."""
     rows = [(v, c, n, u) for v, cs in nested.items() for c, ns in cs.items() for n, u in ns.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +22,43 @@ def assemble(pending: str, chunk: str) -> tuple[list[str], str]:
     return [x for x in shown if "\x1b" not in x and x.strip(WS)], pending
 
 
+class Tee:
+    """Text written to a stream goes on to it unchanged, and as kept lines into a file that several tees may share; each has
+    its own unfinished line, which is lost unless a line break ends it. As a context it stands in for the named streams of
+    ``sys`` and puts them back."""
+
+    def __init__(self, stream, into):
+        self.stream, self.into, self.pending = stream, into, ""
+
+    def write(self, text: str) -> int:
+        lines, self.pending = assemble(self.pending, text)
+        self.into.writelines(f"{x}\n" for x in lines)
+        return self.stream.write(text)
+
+    def flush(self) -> None:
+        self.stream.flush()
+        self.into.flush()
+
+    def __getattr__(self, name):
+        return getattr(self.stream, name)
+
+
+@contextmanager
+def teed(path: str, names: tuple[str, ...] = ("stdout", "stderr")):
+    """Everything the named streams of ``sys`` are given, also as kept lines at the end of a file."""
+    import sys
+
+    before = {n: getattr(sys, n) for n in names}
+    with open(path, "a", encoding="utf-8") as into:
+        for n, stream in before.items():
+            setattr(sys, n, Tee(stream, into))
+        try:
+            yield
+        finally:
+            for n, stream in before.items():
+                setattr(sys, n, stream)
+
+
 def log_batch(chunks: DataFrame) -> DataFrame:
     """(``stream``, ``line_no``, ``line``) of chunks (``stream``, ``seq``, ``chunk``): each stream on its own, an
     unterminated last line is lost. Null chunks add nothing.

@@ -121,3 +121,46 @@ def test_layers_and_dump(tmp_path):
     with pytest.raises(ValueError, match="circle"):
         config.read_layers(str(tmp_path), "loop")
     assert re.match(r"\{\n", config.dumped({"b": 1}))
+
+
+def test_limited_runner_and_tee(tmp_path, capsys):
+    import sys
+    import time
+
+    from quernstone.streaming.logs import teed
+
+    class Slow:
+        def run(self, code):
+            time.sleep(float(code))
+            return "x" * 20
+
+    assert generation.Limited(Slow(), 0.2).run("2") == "[did not terminate within 0.2 seconds]"
+    assert generation.Limited(Slow(), 5, limit=4).run("0") == "xxxx... [truncated, 16 more characters]"
+    with pytest.raises(ValueError):
+        generation.Limited(Slow(), 5).run("no number")
+    at = tmp_path / "log"
+    with teed(str(at)):
+        print("10%\r50%\rdone")
+        print("\x1b[1mred\x1b[0m")
+        print("bad", file=sys.stderr)
+        print("no end", end="")
+    print("outside")
+    assert at.read_text() == "done\nbad\n" and "no end" in capsys.readouterr().out
+
+
+def test_small_sources(spark, tmp_path):
+    from quernstone.sources import files
+
+    with pytest.raises(ValueError):
+        files.require_file(str(tmp_path))
+    (tmp_path / "conf.py").write_text("")
+    files.require_file(str(tmp_path))
+    rows = files.example_rows(spark, [("a", "x"), ("b", "y")])
+    assert files.with_patterns(rows, ["p", "q", "r"]).count() == 6 and files.with_patterns(rows, []).count() == 0
+    with pytest.raises(ValueError):
+        files.with_patterns(rows, ["p"] * 3, most=2)
+
+
+def test_order_of_steps():
+    e = config.validated(config.Experiment, {"name": "n", "model": "m", "sources": {"cpt": "a", "sft": ["b"]}})
+    assert config.steps(e) == ["eval before", "cpt", "eval after cpt", "sft", "eval after sft"] and config.steps(e, False) == ["cpt", "sft"]
